@@ -191,20 +191,13 @@ def with_repair(df: DataFrame, text: str = "text", out: str = "repair") -> DataF
     Only texts with a suspect sign reach Python. garbled_lines 0 and an empty list mean that the text is correct; fixed
     is the text itself then. Lines with replacement signs have lost bytes and stay as they are, counted in lost_lines.
     """
-    typed = F.pandas_udf(SCHEMA)(_repair_typed)
+    typed = F.pandas_udf(_repair, SCHEMA)
     plain = F.struct(F.col(text).alias("fixed"), F.array().cast("array<string>").alias("pairs"), F.lit(0).alias("garbled_lines"), F.lit(0).alias("lost_lines"))
     suspect = F.col(text).rlike(SUSPECT)
     asked = df.withColumn("_asked", typed(F.when(suspect, F.col(text))))
     return asked.withColumn(out, F.when(suspect, F.col("_asked")).otherwise(plain)).drop("_asked")
 
 
-def _repair_typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    yield from _repair(batches)
-
-
-_repair_typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-
-
 def repaired_records(source_documents: DataFrame, preset_documents: DataFrame) -> DataFrame:
     """Both tables' texts repaired: tbl, row_id, text, fixed, pairs, garbled_lines, lost_lines, each key once.
 
