@@ -113,6 +113,7 @@ def _judge(votes: DataFrame) -> DataFrame:
     is_body = (
         F.when(titled, False)
         .when((F.col("exact_body") > 0) & (F.col("exact_body") * 20 >= F.col("exact_page")), F.col("exact_body") >= F.col("exact_before"))
+        .when((F.col("two_body") > 0) & (F.col("two_body") * 4 >= F.col("two_page")), True)
         .when(F.col("exact_page") >= VOTES, False)
         .when(F.col("two_body") > 0, F.col("two_body") * 20 >= F.col("two_page"))
         .otherwise((F.col("one_body") > 0) & (F.col("one_body") * 4 >= F.col("one_page")))
