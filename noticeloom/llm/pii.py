@@ -7,6 +7,8 @@ number plans of phones, complete addresses, surnames. Placeholders replace what
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,7 +25,7 @@ LONG_SURNAMES = "남궁 제갈 선우 독고 황보 사공 서문 동방".split(
 TITLES = "부장 과장 차장 대리 책임 선임 팀장 실장 국장 센터장 본부장 원장 이사 대표 사장 매니저 사무관 서기관 연구원 주무관 주임 사원 담당관 간사 교수 박사 위원 위원장 변호사 회계사 컨설턴트 멘토 강사 님 씨".split()
 
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {c: 0x20 for c in (0xA0, 0x2007, 0x2009, 0x202F, 0x3000, 0x2002, 0x2003, 0x2005, 0x2006, 0x2008, 0x200A, 0x205F)} | {c: 0x2D for c in (0x2010, 0x2011, 0x2012, 0x2013, 0x2212)}
-_INVISIBLE = regex.compile("[​-‏⁠-⁤﻿­‪-‮]")
+_INVISIBLE = re.compile("[​-‏⁠-⁤﻿­‪-‮]")
 
 EMAIL = regex.compile(r"[A-Za-z0-9][\w.%+-]*\s?(?:@|\[at\]|\(at\))\s?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", regex.ASCII)
 PHONE = regex.compile(
@@ -46,9 +48,8 @@ _NAME = rf"(?:(?:{'|'.join(LONG_SURNAMES)})[가-힣]{{1,2}}|[{SURNAMES}][가-힣
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 #: A name after a cue, with what may stand between; before a title; in a table beside contact data.
 AFTER_CUE = regex.compile(rf"(?:담당자|대표자|신청자|수혜자|작성자|책임자|성명|이름|대표|심사위원|문의처|연락처|강사|멘토)(?:인)?(?:\s*[:：]\s*|\s+)(?:\S+(?:팀|실|부|과|센터|본부)\s+)?(?P<name>{_NAME})(?=\s*(?:[/(),|]|{_TITLE}|$|\n)|\s+(?:{_TITLE})|\s*\()")
-BEFORE_TITLE = regex.compile(rf"(?<![가-힣])(?P<name>{_NAME})\s(?:{_TITLE})(?![가-힣])|(?<![가-힣])(?P<name>{_NAME})\s(?:{_TITLE})(?=[은는이가을를의에도과와께,)(]|에게|입니다)")
 AFTER_TITLE = regex.compile(rf"(?:{_TITLE})\s(?P<name>{_NAME})(?=에게|께|님|이|가|은|는|,|\s|\()")
-TABLE = regex.compile(rf"(?m)^\s*\d+\s\|\s[^|\n]+\s\|\s(?P<name>{_NAME})\s\|\s")
+TABLE = regex.compile(rf"\s*\d+\s\|\s[^|\n]+\s\|\s(?P<name>{_NAME})\s\|\s")
 WESTERN_NAME = regex.compile(r"Contact(?: person)?:\s(?P<name>\p{Lu}[\p{L}'-]+(?:\s\p{Lu}[\p{L}'.-]*){1,2})(?=,|\s\(|$|\n)")
 
 
@@ -71,7 +72,7 @@ def anchors():
     return a
 
 
-_DIGIT13 = regex.compile(r"(?<![\dA-Za-z-])(?:\d{6}\s?-\s?\d{7}|\d{13}|[MSRODGP]\d{3}|\d\d-\d\d-\d{6}-\d\d)", regex.ASCII)
+_DIGIT13 = re.compile(r"(?<![\dA-Za-z-])(?:\d{6}\s?-\s?\d{7}|\d{13}|[MSRODGP]\d{3}|\d\d-\d\d-\d{6}-\d\d)", re.ASCII)
 _FREE = "0123456789-."
 
 
@@ -90,51 +91,90 @@ def _other(text: str, at: int) -> bool:
     return bool(_OTHER.search(head)) and not _RESIDENT_CUE.search(head)
 
 
+_WIDE_SIGN = re.compile("[" + "".join(map(re.escape, map(chr, _WIDE))) + "]")
+_STREET = re.compile(r"(?:로|길)\s?\d|\d번지", re.ASCII)
+_NAME_BACK = regex.compile(rf"(?<![가-힣])(?P<name>{_NAME})$")
+_TITLE_AT = regex.compile(rf"\s(?:{_TITLE})(?:(?![가-힣])|(?=[은는이가을를의에도과와께]|에게|입니다))")
+
+
+def _line(text: str, at: int) -> tuple[int, int]:
+    end = text.find("\n", at)
+    return text.rfind("\n", 0, at) + 1, len(text) if end < 0 else end
+
+
+def _names(text: str, anchored: list[int]) -> Iterator[tuple[int, int, str]]:
+    tables = set()
+    for at in anchored:
+        if text[at] != " ":
+            found = [(WESTERN_NAME if text[at] == "C" else AFTER_CUE).match(text, at)]
+        elif text[at + 1] == "|":
+            start, end = _line(text, at)
+            if start in tables:
+                continue
+            tables.add(start)
+            found = [TABLE.match(text, start, end)]
+        else:
+            found = [AFTER_TITLE.match(text, at + 1)]
+            if at and "가" <= text[at - 1] <= "힣" and _TITLE_AT.match(text, at):
+                found.append(_NAME_BACK.search(text, max(0, at - 5), at))
+        for m in found:
+            if m and not _NOT_NAMES.fullmatch(m["name"]):
+                yield (*m.span("name"), "name")
+
+
+def _addresses(text: str, anchored: list[int]) -> Iterator[tuple[int, int, str]]:
+    for start, end in dict.fromkeys(_line(text, at) for at in anchored):
+        if _STREET.search(text, start, end):
+            yield from ((m.start(), m.end(), "address") for m in ADDRESS.finditer(text, start, end) if _complete(m[0]))
+        yield from ((m.start(), m.end(), "address") for m in WESTERN.finditer(text, start, end))
+
+
+def _email(text: str, at: int) -> tuple[int, int, str] | None:
+    start = at - (at > 0 and text[at - 1] == " ")
+    while start > 0 and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._%+-")):
+        start -= 1
+    m = EMAIL.match(text, start)
+    return (start, m.end(), "email") if m and m.end() > at else None
+
+
+def _phone(text: str, at: int) -> tuple[int, int, str] | None:
+    if at and (text[at - 1] in _FREE or text[at - 1].isascii() and text[at - 1].isalpha() or text[at - 1] in "+(" and text[at] not in "+("):
+        return None
+    if at > 1 and text[at - 1] == " " and text[at - 2] == ")" and text[at] not in "+(":  # inside +82 (0)2
+        return None
+    m = PHONE.match(text, at)
+    return (at, m.end(), "phone") if m and not _other(text, at) else None
+
+
 def mentions(original: str) -> list[tuple[int, int, str]]:
     """(position, length, type) of each mention, in order and without overlaps; positions count code points."""
-    index = None
-    text = original.translate(_WIDE)
-    if _INVISIBLE.search(text):
-        index = [i for i, c in enumerate(text) if not _INVISIBLE.match(c)]
-        text = "".join(text[i] for i in index)
+    text = _WIDE_SIGN.sub(lambda m: chr(_WIDE[ord(m[0])]), original)
+    # place of the k-th invisible sign without the k before it
+    gone = [m.start() - k for k, m in enumerate(_INVISIBLE.finditer(text))]
+    if gone:
+        text = _INVISIBLE.sub("", text)
     kinds: dict[str, list[int]] = {}
     for end, (n, kind) in anchors().iter(text):
         kinds.setdefault(kind, []).append(end - n + 1)
-    spans: list[tuple[int, int, str]] = []
-    if "email" in kinds:
-        for at in kinds["email"]:
-            start = at - (at > 0 and text[at - 1] == " ")
-            while start > 0 and (text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "._%+-")):
-                start -= 1
-            if (m := EMAIL.match(text, start)) and m.end() > at:
-                spans.append((m.start(), m.end(), "email"))
+    spans = [s for at in kinds.get("email", ()) if (s := _email(text, at))]
     for m in _DIGIT13.finditer(text):
         at = m.start()
         if (r := RESIDENT.match(text, at)) and _resident(r) and not _other(text, at):
             spans.append((at, r.end(), "id_number"))
         elif ((p := PASSPORT.match(text, at)) or (p := LICENCE.match(text, at))) and not _other(text, at):
             spans.append((at, p.end(), "id_number"))
-    if "address" in kinds:
-        spans += [(m.start(), m.end(), "address") for m in ADDRESS.finditer(text) if _complete(m[0])]
-        spans += [(m.start(), m.end(), "address") for m in WESTERN.finditer(text)]
-    taken = sorted(spans)
-    for at in kinds.get("phone", ()):
-        if at and (text[at - 1] in _FREE or text[at - 1].isascii() and text[at - 1].isalpha() or text[at - 1] in "+(" and text[at] not in "+("):
-            continue
-        if at > 1 and text[at - 1] == " " and text[at - 2] in ")" and text[at] not in "+(":  # inside +82 (0)2
-            continue
-        if (m := PHONE.match(text, at)) and not _other(text, at) and not any(s < m.end() and at < e for s, e, _ in taken):
-            spans.append((at, m.end(), "phone"))
-    if "name" in kinds:
-        for pattern in (AFTER_CUE, BEFORE_TITLE, AFTER_TITLE, TABLE, WESTERN_NAME):
-            spans += [(*m.span("name"), "name") for m in pattern.finditer(text) if not _NOT_NAMES.fullmatch(m["name"])]
+    spans += _addresses(text, kinds.get("address", []))
+    phones = [s for at in kinds.get("phone", ()) if (s := _phone(text, at))]
+    spans += [p for p in phones if not any(s < p[1] and p[0] < e for s, e, _ in spans)]
+    spans += _names(text, kinds.get("name", []))
     out: list[tuple[int, int, str]] = []
     for start, end, kind in sorted(set(spans), key=lambda s: (s[0], -s[1])):
         if not out or start >= out[-1][1]:
             out.append((start, end, kind))
-    if index is None:
+    if not gone:
         return [(s, e - s, k) for s, e, k in out]
-    return [(index[s], index[e - 1] + 1 - index[s], k) for s, e, k in out]
+    at = lambda p: p + bisect_right(gone, p)
+    return [(at(s), at(e - 1) + 1 - at(s), k) for s, e, k in out]
 
 
 #: Words of three syllables that begin like a surname.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from noticeloom.llm import mojibake, tokens
+from noticeloom.llm import canonical, mixing, mojibake, pages, pii, scans, tokens, truncation
 from noticeloom.sources.tables import table, tables
 
 
@@ -19,6 +19,41 @@ def p1_repaired(spark: SparkSession, root: str) -> DataFrame:
     return mojibake.repaired_records(*tables(spark, root, "source_documents", "preset_documents")).where("garbled_lines > 0")
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return pages.surroundings(pages.page_lines(table(spark, root, "source_documents")))
+
+
+def p3_bodies(spark: SparkSession, root: str) -> DataFrame:
+    """The body of each html document."""
+    return pages.bodies(pages.page_lines(table(spark, root, "source_documents")))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return canonical.lookalike_quotes(*tables(spark, root, "evidence", "source_documents"))
+
+
+def p4_canonical(spark: SparkSession, root: str) -> DataFrame:
+    """The documents whose text changes in canonical form, with that form."""
+    docs = table(spark, root, "source_documents").where("text IS NOT NULL").select("src_doc_id", "text").dropDuplicates(["src_doc_id"])
+    return canonical.canonical_column(docs, "text", "form", True).where("form IS NOT NULL").select("src_doc_id", "form")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return pii.pii_mentions(*tables(spark, root, "source_documents", "contacts"))
+
+
+def p5_masked(spark: SparkSession, root: str) -> DataFrame:
+    return pii.masked_documents(table(spark, root, "source_documents"))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return scans.page_noise(table(spark, root, "source_documents"))
+
+
+def p7_repaired(spark: SparkSession, root: str) -> DataFrame:
+    return scans.repaired_text(table(spark, root, "source_documents"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
     return tokens.token_ids(docs).select("doc_id", "ids")
@@ -34,10 +69,27 @@ def p8_sources(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mixed(*tables(spark, root, "documents", "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(p9_mix(spark, root), table(spark, root, "mix_targets"))
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncated(table(spark, root, "documents")).where("cut").select("doc_id")
+
+
+def p10_report(spark: SparkSession, root: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, root, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_repaired, p8_ids, p8_sources)}
+    own = (p1_found, p1_repaired, p3_found, p3_bodies, p4_found, p4_canonical, p5_found, p5_masked, p7_found, p7_repaired, p8_ids, p8_sources, p9_mix, p9_shares, p10_found, p10_report)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None yet: these operators aren't expressible in SQL; tests hold them against brute force."""
+    """None: these operators aren't expressible in SQL; tests hold them against brute force and round trips."""
     return {}
