@@ -1,36 +1,393 @@
-"""Queries of the core operators and their SQL."""
+"""Queries of the core operators, and the same in SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from noticeloom.operators import amount_units, call_times
-from noticeloom.sources.tables import tables
+from noticeloom.functions import facts, text as tx, urls
+from noticeloom.operators import agreement, amount_units, call_times, checks, collection, reports
+from noticeloom.sources.tables import table, tables
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
+#: Hosts of the project's own data that count as public, a fixed policy list.
+PUBLIC = ("hanbit1.biz-kr.example", "sprout2.biz-kr.example", "saesol3.re-kr.example", "namu4.biz-kr.example", "startup7.go-kr.example", "biznuri8.biz-kr.example", "hanbit9.or-kr.example", "sprout11.go-kr.example")
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query()
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return call_times.same_minute(call_times.call_moments(*tables(spark, root, "extractions", "notices", "sites")))
 
 
+@query()
 def p2_moments(spark: SparkSession, root: str) -> DataFrame:
     """Every schedule entry and deadline as a moment in UTC."""
     return call_times.call_moments(*tables(spark, root, "extractions", "notices", "sites"))
 
 
+@query()
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     return amount_units.wrong_amounts(amount_units.amounts_in_won(*tables(spark, root, "extractions", "fx_rates")))
 
 
+@query()
 def p6_amounts(spark: SparkSession, root: str) -> DataFrame:
     """Every amount in won, with the unit and its posterior where the note states none."""
     return amount_units.amounts_in_won(*tables(spark, root, "extractions", "fx_rates"))
 
 
+_HOST = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)"
+
+
+@query(f"""
+SELECT notice_id, url, {_HOST} AS host, array_to_string(list_slice(string_split({_HOST}, '.'), -2, -1), '.') AS domain,
+       list_extract(string_split(array_to_string(list_slice(string_split({_HOST}, '.'), -2, -1), '.'), '.'), 1) AS label
+FROM (SELECT notice_id, min(url) AS url FROM notices GROUP BY notice_id)
+""")
+def url_parts(spark: SparkSession, root: str) -> DataFrame:
+    n = table(spark, root, "notices").groupBy("notice_id").agg(F.min("url").alias("url"))
+    h = urls.host(F.col("url"))
+    return n.select("notice_id", "url", h.alias("host"), urls.registrable(h).alias("domain"), urls.first_label(urls.registrable(h)).alias("label"))
+
+
+_PUBLIC_SQL = "[" + ", ".join(f"'{h}'" for h in PUBLIC) + "]"
+_NEAR_SQL = "levenshtein(domain, w) BETWEEN 1 AND 2 OR (length(label) >= 5 AND length(split_part(w, '.', 1)) >= 5 AND levenshtein(label, split_part(w, '.', 1)) BETWEEN 1 AND 2)"
+_TIER_SQL = f"""
+WITH n AS (SELECT notice_id, min(coalesce(final_url, url)) AS url FROM notices GROUP BY notice_id),
+h AS (SELECT notice_id, url, {_HOST} AS host FROM n),
+d AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -2) AS label FROM h),
+t AS (SELECT notice_id, CASE WHEN host = '' THEN 'tier3'
+       WHEN host LIKE '%.go.kr' OR len(list_filter({_PUBLIC_SQL}, lambda w: host = w OR ends_with(host, '.' || w))) > 0 THEN 'tier1'
+       WHEN len(list_filter({_PUBLIC_SQL}, lambda w: {_NEAR_SQL})) > 0 THEN 'tier3' ELSE 'tier2' END AS tier FROM d)
+"""
+
+
+@query(_TIER_SQL + "SELECT notice_id, tier FROM t")
+def domain_tier(spark: SparkSession, root: str) -> DataFrame:
+    n = table(spark, root, "notices").groupBy("notice_id").agg(F.min(F.coalesce("final_url", "url")).alias("url"))
+    return n.select("notice_id", urls.tier(F.col("url"), PUBLIC).alias("tier"))
+
+
+def _hits_sql(column: str, patterns: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(regexp_matches({column}, '{p}') AS INT)" for p in patterns)
+
+
+_INDEX_SQL = lambda c: f"(({_hits_sql(c, checks.STRUCTURE)}) <= 1 AND greatest(" + ", ".join(f"len(regexp_extract_all({c}, '{p}'))" for p in checks.LISTING) + ") >= 8)"
+_RISK_SQL = lambda c: "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{r}'" for p, r in checks.RISKS) + " END"
+
+
+@query(f"SELECT doc_id, {_hits_sql('text', checks.ANNOUNCING)} AS score, {_RISK_SQL('text')} AS risk, {_INDEX_SQL('text')} AS is_index FROM documents WHERE text IS NOT NULL")
+def pattern_scores(spark: SparkSession, root: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, root, "documents").where("text IS NOT NULL").select("doc_id", checks.hits(t, checks.ANNOUNCING).alias("score"), checks.risk(t).alias("risk"), checks.is_index(t).alias("is_index"))
+
+
+_JOINED_SQL = """
+s AS (SELECT src_doc_id, min({'n': notice_id, 'o': doc_ord, 't': text}) AS d FROM source_documents WHERE text IS NOT NULL AND notice_id IS NOT NULL GROUP BY src_doc_id),
+j AS (SELECT d.n AS notice_id, string_agg(d.t, chr(10) ORDER BY d.o, src_doc_id) AS whole, arg_min(d.t, {'o': d.o, 's': src_doc_id}) AS first FROM s GROUP BY d.n)
+"""
+
+
+@query(f"""{_TIER_SQL}, {_JOINED_SQL},
+x AS (SELECT t.notice_id, tier, CASE WHEN tier = 'tier3' THEN 'source' WHEN {_RISK_SQL('first')} IS NOT NULL THEN {_RISK_SQL('first')} WHEN {_INDEX_SQL('whole')} THEN 'index page' END AS reason,
+  coalesce({_hits_sql('whole', checks.ANNOUNCING)}, 0) AS score FROM t LEFT JOIN j USING (notice_id))
+SELECT notice_id, tier, reason, CASE WHEN reason IS NOT NULL THEN 'reject' WHEN tier = 'tier1' AND score >= 3 THEN 'pass_fast' ELSE 'needs_llm' END AS verdict FROM x
+""")
+def precheck_verdict(spark: SparkSession, root: str) -> DataFrame:
+    return checks.precheck(*tables(spark, root, "notices", "source_documents"), PUBLIC)
+
+
+@query(r"SELECT src_doc_id, list_distinct(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')).len() AS n_emails, md5(regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '[이메일]', 'g')) AS masked_md5 FROM source_documents WHERE text IS NOT NULL")
+def email_masks(spark: SparkSession, root: str) -> DataFrame:
+    d = table(spark, root, "source_documents").where("text IS NOT NULL")
+    return d.select("src_doc_id", F.size(tx.contacts(F.col("text"))["emails"]).cast("bigint").alias("n_emails"), F.md5(F.regexp_replace("text", tx.EMAIL, "[이메일]").cast("binary")).alias("masked_md5"))
+
+
+@query()
+def contact_masks(spark: SparkSession, root: str) -> DataFrame:
+    """Phones and e-mails of each document and its text with contacts masked."""
+    d = table(spark, root, "source_documents").where("text IS NOT NULL")
+    return d.select("src_doc_id", tx.contacts(F.col("text")).alias("contacts"), tx.mask_contacts(F.col("text")).alias("masked"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(translate(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '<>[]', '＜＞［］'), '(?i)\b(javascript|vbscript|data)\s*:', '\1：', 'g')) AS safe_md5 FROM documents WHERE text IS NOT NULL")
+def safe_texts(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "documents").where("text IS NOT NULL").select("doc_id", F.md5(tx.publishable(F.col("text")).cast("binary")).alias("safe_md5"))
+
+
+@query()
+def safe_records(spark: SparkSession, root: str) -> DataFrame:
+    """Whole extractions with every text but addresses made safe to publish."""
+    return tx.publishable_record(table(spark, root, "extractions"))
+
+
+_FORM_SQL = (
+    "lower(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace({c}, '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]', '', 'g'), '[\"「」『』]', '\"', 'g'), '[·ㆍ•]', '·', 'g'), '|', ' '),"
+    " '[\\s\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x0b]+', ' ', 'g'), '^ | $', '', 'g'))"
+)
+_TIGHT_SQL = "regexp_replace({c}, '[ \\-–—]', '', 'g')"
+_QUOTES_SQL = f"""
+WITH e AS (SELECT evidence_id, unnest(min({{'notice_id': notice_id, 'section': section, 'quote': quote}})) FROM evidence GROUP BY evidence_id),
+q AS (SELECT *, {_FORM_SQL.format(c='quote')} AS f FROM e),
+d AS (SELECT DISTINCT notice_id, {_FORM_SQL.format(c='text')} AS t FROM source_documents WHERE text IS NOT NULL),
+d2 AS (SELECT notice_id, t, {_TIGHT_SQL.format(c='t')} AS tt FROM d), q2 AS (SELECT *, {_TIGHT_SQL.format(c='f')} AS ft FROM q),
+r AS (SELECT evidence_id, section, q2.notice_id, coalesce(bool_or(length(f) >= 4 AND (contains(t, f) OR (length(ft) >= 4 AND contains(tt, ft)))), false) AS found
+  FROM q2 LEFT JOIN d2 ON q2.notice_id = d2.notice_id GROUP BY evidence_id, section, q2.notice_id)
+"""
+
+
+@query(_QUOTES_SQL + "SELECT evidence_id, section, notice_id, found FROM r")
+def quotes_found(spark: SparkSession, root: str) -> DataFrame:
+    return checks.quotes_exist(*tables(spark, root, "evidence", "source_documents"), nfkc=False)
+
+
+@query()
+def quotes_found_nfkc(spark: SparkSession, root: str) -> DataFrame:
+    """Quotes that exist once compatibility forms are folded too."""
+    return checks.quotes_exist(*tables(spark, root, "evidence", "source_documents"))
+
+
+@query(_QUOTES_SQL + "SELECT section, count(*) AS n, count_if(found) AS n_found, round(avg(CAST(found AS DOUBLE)), 6) AS rate FROM r GROUP BY section")
+def quote_rates(spark: SparkSession, root: str) -> DataFrame:
+    r = quotes_found(spark, root)
+    return r.groupBy("section").agg(F.count("*").alias("n"), F.count_if("found").alias("n_found"), F.round(F.avg(F.col("found").cast("double")), 6).alias("rate"))
+
+
+@query(_QUOTES_SQL + ", p AS (SELECT notice_id, count(*) AS n, count_if(found) AS ok FROM r GROUP BY notice_id) SELECT round(avg(ok / n), 6) AS mean_rate, CAST(sum(n) AS BIGINT) AS quotes_total, CAST(sum(ok) AS BIGINT) AS quotes_passed FROM p")
+def mean_quote_rate(spark: SparkSession, root: str) -> DataFrame:
+    return reports.mean_rate(quotes_found(spark, root))
+
+
+@query(_QUOTES_SQL + """, p AS (SELECT notice_id, avg(CAST(found AS DOUBLE)) AS rate FROM r GROUP BY notice_id),
+b AS (SELECT CASE WHEN rate >= 1 THEN '100' WHEN rate >= 0.8 THEN '80-99' WHEN rate >= 0.5 THEN '50-79' ELSE '<50' END AS bucket, count(*) AS n FROM p GROUP BY 1)
+SELECT v.bucket, coalesce(n, 0) AS n FROM (VALUES ('100'), ('80-99'), ('50-79'), ('<50')) AS v(bucket) LEFT JOIN b ON v.bucket = b.bucket""")
+def rate_buckets(spark: SparkSession, root: str) -> DataFrame:
+    return reports.rate_buckets(spark, quotes_found(spark, root))
+
+
+@query()
+def quote_dates(spark: SparkSession, root: str) -> DataFrame:
+    """Dates and sums that each quote names."""
+    e = table(spark, root, "evidence").where("quote IS NOT NULL").select("evidence_id", "quote").distinct()
+    return e.select("evidence_id", facts.dates(F.col("quote")).alias("dates"), facts.sums(F.col("quote")).alias("sums"))
+
+
+_N = r"([0-9]+(?:\.[0-9]+)?)"
+_SUM_SQL = " + ".join(f"coalesce(list_sum([CAST(x AS DOUBLE) * {f} FOR x IN regexp_extract_all(c, '{_N}\\s*{u}', 1)]), 0)" for u, f in ((r"천만\s*원?", 1e7), (r"백만\s*원?", 1e6), (r"만\s*원", 1e4)))
+
+
+@query(f"""
+WITH n AS (SELECT extraction_id, replace(overview.amount_note, ',', '') AS c FROM extractions WHERE overview.amount_note IS NOT NULL)
+SELECT extraction_id, CAST(round({_SUM_SQL}) AS BIGINT) AS total FROM n WHERE NOT contains(c, '억') AND NOT regexp_matches(c, '[0-9]{{4,}}\\s*원')
+  AND len(list_distinct(regexp_extract_all(c, '[0-9][0-9.]*\\s*[천백]?만'))) = len(regexp_extract_all(c, '[0-9][0-9.]*\\s*[천백]?만'))
+  AND len(regexp_extract_all(c, '[0-9][0-9.]*\\s*[천백]?만')) <= 1
+""")
+def note_sums(spark: SparkSession, root: str) -> DataFrame:
+    """Sums in won of notes that name at most one, in units of ten thousand and up."""
+    n = table(spark, root, "extractions").select("extraction_id", F.col("overview.amount_note").alias("note")).where("note IS NOT NULL").withColumn("c", F.regexp_replace("note", ",", ""))
+    units = F.regexp_extract_all("c", F.lit(r"[0-9][0-9.]*\s*[천백]?만"), F.lit(0))
+    n = n.where(~F.contains("c", F.lit("억")) & ~F.col("c").rlike(r"[0-9]{4,}\s*원") & (F.size(units) <= 1))
+    return n.select("extraction_id", F.aggregate(facts.sums(F.col("note")), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query()
+def value_checks(spark: SparkSession, root: str) -> DataFrame:
+    return checks.value_checks(table(spark, root, "extractions"))
+
+
+_DAY = r"[0-9]{4}\s*[.\-/년]\s*[0-9]{1,2}\s*[.\-/월]\s*[0-9]{1,2}"
+
+
+@query(rf"""
+WITH q AS (SELECT DISTINCT extraction_id, list_extract(regexp_extract_all(quote, '{_DAY}'), -1) AS d FROM evidence WHERE field = 'apply_end' AND quote IS NOT NULL),
+k AS (SELECT DISTINCT extraction_id, array_to_string([CAST(CAST(x AS INT) AS VARCHAR) FOR x IN regexp_extract_all(d, '[0-9]+')], '-') AS day FROM q WHERE d IS NOT NULL)
+SELECT extraction_id, count(*) AS n_days, min(day) AS first_day, max(day) AS last_day FROM k GROUP BY extraction_id HAVING count(*) > 1
+""")
+def deadline_conflicts(spark: SparkSession, root: str) -> DataFrame:
+    return checks.deadline_conflicts(table(spark, root, "evidence"))
+
+
+_RUNS_SQL = """
+WITH f AS (SELECT notice_id, run, arg_min(overview, extraction_id) AS o, arg_min(eligibility, extraction_id) AS e, arg_min(requirements, extraction_id) AS q, arg_min(confidence, extraction_id) AS c FROM extractions GROUP BY notice_id, run),
+r AS (SELECT a.notice_id, a.o AS ao, b.o AS bo, a.e AS ae, b.e AS be, a.q AS aq, b.q AS bq, a.c AS ac, b.c AS bc FROM f a JOIN f b ON a.notice_id = b.notice_id AND a.run = 1 AND b.run = 2)
+"""
+_LOOSE_SQL = r"lower(trim(regexp_replace(CAST({c} AS VARCHAR), '\s+', ' ', 'g')))"
+_FIELDS = [("overview", "o", f) for f in agreement.OVERVIEW] + [("eligibility", "e", f) for f in agreement.ELIGIBILITY]
+
+
+@query(_RUNS_SQL + " UNION ALL ".join(f"SELECT notice_id, '{s}.{f}' AS field, {_LOOSE_SQL.format(c=f'a{k}.{f}')} IS NOT DISTINCT FROM {_LOOSE_SQL.format(c=f'b{k}.{f}')} AS agreed FROM r WHERE a{k}.{f} IS NOT NULL" for s, k, f in _FIELDS))
+def scalar_agreement(spark: SparkSession, root: str) -> DataFrame:
+    return agreement.scalar_agreement(table(spark, root, "extractions"))
+
+
+@query(_RUNS_SQL + " UNION ALL ".join(
+    f"SELECT notice_id, '{f}' AS field, CAST(len(ae.{f}) AS INT) AS n, CAST(k AS INT) AS n_kept, k = len(ae.{f}) AS agreed FROM (SELECT *, len(list_filter(ae.{f}, lambda x: list_contains([{_LOOSE_SQL.format(c='y')} FOR y IN coalesce(be.{f}, [])], {_LOOSE_SQL.format(c='x')}))) AS k FROM r) WHERE len(ae.{f}) > 0"
+    for f in agreement.ARRAYS
+))
+def array_agreement(spark: SparkSession, root: str) -> DataFrame:
+    return agreement.array_agreement(table(spark, root, "extractions"))
+
+
+@query()
+def item_stability(spark: SparkSession, root: str) -> DataFrame:
+    return agreement.item_stability(table(spark, root, "extractions"))
+
+
+@query()
+def confirmed_runs(spark: SparkSession, root: str) -> DataFrame:
+    return agreement.confirmed(table(spark, root, "extractions"))
+
+
+@query("""
+WITH o AS (SELECT notice_id, url, arg_min({'k': kind, 'n': length(text)}, src_doc_id) AS d FROM source_documents WHERE text IS NOT NULL AND url IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT notice_id, url, arg_min({'k': kind, 'n': length(text)}, preset_id) AS d FROM preset_documents WHERE length(trim(text)) >= 40 AND url IS NOT NULL GROUP BY 1, 2)
+SELECT notice_id, url, d.k AS kind, CAST(d.n AS INT) AS n_chars, false AS is_preset FROM o UNION ALL
+SELECT p.notice_id, p.url, CASE WHEN p.d.k IN ('html', 'pdf', 'hwp', 'hwpx', 'docx', 'image', 'text') THEN p.d.k ELSE 'text' END, CAST(p.d.n AS INT), true FROM p
+WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.notice_id = p.notice_id AND o.url = p.url)
+""")
+def merged_presets(spark: SparkSession, root: str) -> DataFrame:
+    return collection.merged_presets(*tables(spark, root, "source_documents", "preset_documents"))
+
+
+@query("""
+WITH n AS (SELECT notice_id, min(url) AS url, min(final_url) AS final_url FROM notices GROUP BY 1),
+g AS (SELECT notice_id, arg_min(text, src_doc_id) AS page FROM source_documents WHERE doc_ord = 0 AND text IS NOT NULL GROUP BY 1),
+p AS (SELECT notice_id, url, arg_min(text, preset_id) AS preset FROM preset_documents WHERE length(trim(text)) >= 80 GROUP BY 1, 2)
+SELECT n.notice_id, coalesce(a.preset, b.preset) IS NOT NULL AS from_preset, CAST(length(coalesce(a.preset, b.preset, page)) AS INT) AS n_chars FROM n LEFT JOIN g ON n.notice_id = g.notice_id
+LEFT JOIN p a ON a.notice_id = n.notice_id AND a.url = n.final_url LEFT JOIN p b ON b.notice_id = n.notice_id AND b.url = n.url WHERE coalesce(a.preset, b.preset, page) IS NOT NULL
+""")
+def body_texts(spark: SparkSession, root: str) -> DataFrame:
+    return collection.body_texts(*tables(spark, root, "notices", "source_documents", "preset_documents"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT notice_id, doc_ord, src_doc_id, coalesce(length(trim(text)) >= 40, false) AS ok FROM source_documents WHERE doc_ord > 0),
+w AS (SELECT *, coalesce(sum(CAST(ok AS INT)) OVER (PARTITION BY notice_id ORDER BY doc_ord, src_doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM a)
+SELECT notice_id, src_doc_id, CASE WHEN before >= 3 THEN 'not_tried' WHEN ok THEN 'taken' ELSE 'skipped' END AS outcome FROM w
+""")
+def first_attachments(spark: SparkSession, root: str) -> DataFrame:
+    return collection.first_attachments(table(spark, root, "source_documents"))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT notice_id, doc_ord, src_doc_id, least(length(text), 1400) AS want FROM source_documents WHERE text IS NOT NULL),
+w AS (SELECT *, 2600 - coalesce(sum(want) OVER (PARTITION BY notice_id ORDER BY doc_ord, src_doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM d)
+SELECT notice_id, src_doc_id, CAST(CASE WHEN rest > 50 THEN least(want, rest) ELSE 0 END AS BIGINT) AS n_chars FROM w
+""")
+def prompt_budget(spark: SparkSession, root: str) -> DataFrame:
+    return collection.prompt_budget(table(spark, root, "source_documents"), 1400, 2600, 50)
+
+
+@query("SELECT notice_id, url, arg_max(src_doc_id, {'n': coalesce(length(text), 0), 's': -src_doc_id}) AS src_doc_id, CAST(max(coalesce(length(text), 0)) AS INT) AS n_chars FROM source_documents WHERE url IS NOT NULL GROUP BY 1, 2")
+def longest_documents(spark: SparkSession, root: str) -> DataFrame:
+    return collection.longest_by_url(table(spark, root, "source_documents"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT notice_id, url FROM source_documents WHERE url IS NOT NULL)
+SELECT notice_id, url FROM (SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY CAST(contains(url, '?') AS INT) DESC, length(url) DESC, url) AS k FROM l) WHERE k = 1
+""")
+def best_links(spark: SparkSession, root: str) -> DataFrame:
+    return collection.best_link(table(spark, root, "source_documents").select("notice_id", "url"), "notice_id")
+
+
+@query("""
+WITH n AS (SELECT notice_id, sha1('replay' || chr(10) || min(url)) AS key FROM notices WHERE url IS NOT NULL GROUP BY 1),
+c AS (SELECT DISTINCT sha1('replay' || chr(10) || url) AS key FROM preset_documents WHERE url IS NOT NULL)
+SELECT notice_id, key FROM n WHERE key NOT IN (SELECT key FROM c)
+""")
+def cache_misses(spark: SparkSession, root: str) -> DataFrame:
+    cached = table(spark, root, "preset_documents").where("url IS NOT NULL").select(collection.cache_key("replay", F.col("url")).alias("key")).distinct()
+    return collection.cache_misses(table(spark, root, "notices"), cached, "replay")
+
+
+@query("SELECT user_id, event_type, arg_min(event_id, {'t': ts, 'e': event_id}) AS event_id, count(*) AS n_requests FROM events GROUP BY 1, 2")
+def single_flight(spark: SparkSession, root: str) -> DataFrame:
+    return collection.single_flight(table(spark, root, "events"), ["user_id", "event_type"], "ts", "event_id")
+
+
+@query("""
+WITH g AS (SELECT user_id, event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap_us FROM events)
+SELECT user_id, event_id, gap_us FROM g WHERE gap_us < 3600000000
+""")
+def throttled(spark: SparkSession, root: str) -> DataFrame:
+    return collection.throttled(table(spark, root, "events"), "user_id", "ts", "event_id", 3600)
+
+
+@query("SELECT " + ", ".join(f"count_if(event_type = '{c}') AS n_{c}" for c in ("signup", "purchase", "error")) + ", count_if(event_type NOT IN ('signup', 'purchase', 'error')) AS n_other, count(*) AS n_all FROM events")
+def outcome_counts(spark: SparkSession, root: str) -> DataFrame:
+    return reports.outcome_counts(table(spark, root, "events"), "event_type", ("signup", "purchase", "error"))
+
+
+@query("SELECT event_type, round(avg(value), 4) AS mean, quantile_disc(value, 0.9) AS p90, count(value) AS n FROM events GROUP BY 1")
+def durations(spark: SparkSession, root: str) -> DataFrame:
+    return reports.durations(table(spark, root, "events"), "event_type", "value")
+
+
+@query("SELECT substring(trim(regexp_replace(title, '[0-9]+', 'N', 'g')), 1, 90) AS reason, count(*) AS n FROM documents WHERE title IS NOT NULL GROUP BY 1 ORDER BY n DESC, reason LIMIT 5")
+def top_reasons(spark: SparkSession, root: str) -> DataFrame:
+    return reports.top_reasons(table(spark, root, "documents"), tx.reason_key(F.col("title")))
+
+
+_FILLS = {"apply_end": "overview.apply_end", "amount_max_krw": "overview.amount_max_krw", "organizer": "overview.organizer", "min_age": "eligibility.min_age"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS field, count_if({v} IS NOT NULL) AS n_filled, round(avg(CAST({v} IS NOT NULL AS DOUBLE)), 6) AS fill_rate FROM extractions" for k, v in _FILLS.items()) + " UNION ALL SELECT 'target_regions', count_if(coalesce(len(eligibility.target_regions), 0) > 0), round(avg(CAST(coalesce(len(eligibility.target_regions), 0) > 0 AS DOUBLE)), 6) FROM extractions")
+def fill_rates(spark: SparkSession, root: str) -> DataFrame:
+    columns = {k: F.col(v).isNotNull() for k, v in _FILLS.items()} | {"target_regions": F.coalesce(F.size("eligibility.target_regions"), F.lit(0)) > 0}
+    return reports.fill_rates(table(spark, root, "extractions"), columns)
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT unnest(eligibility.target_regions) AS label FROM extractions) WHERE label IS NOT NULL GROUP BY 1 ORDER BY n DESC, label LIMIT 15")
+def label_counts(spark: SparkSession, root: str) -> DataFrame:
+    return reports.label_counts(table(spark, root, "extractions"), "eligibility.target_regions")
+
+
+@query("SELECT notice_id, list(kind ORDER BY doc_ord, src_doc_id) AS kinds, CAST(sum(coalesce(length(text), 0)) AS BIGINT) AS n_chars FROM (SELECT DISTINCT src_doc_id, notice_id, doc_ord, kind, text FROM source_documents) GROUP BY 1")
+def document_metadata(spark: SparkSession, root: str) -> DataFrame:
+    d = table(spark, root, "source_documents").select("src_doc_id", "notice_id", "doc_ord", "kind", F.coalesce(F.length("text"), F.lit(0)).alias("n")).dropDuplicates(["src_doc_id"])
+    g = d.groupBy("notice_id").agg(F.array_sort(F.collect_list(F.struct("doc_ord", "src_doc_id", "kind"))).alias("x"), F.sum("n").alias("n_chars"))
+    return g.select("notice_id", F.transform("x", lambda r: r["kind"]).alias("kinds"), "n_chars")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.k') IS NULL AS bad FROM events")
+def parsed_props(spark: SparkSession, root: str) -> DataFrame:
+    parsed = F.from_json("props", "k BIGINT")
+    return table(spark, root, "events").select("event_id", parsed["k"].alias("k"), parsed["k"].isNull().alias("bad"))
+
+
+@query("SELECT extraction_id, ord, label FROM (SELECT extraction_id, unnest(range(0, least(len(schedule), 2))) AS ord, schedule FROM extractions), LATERAL (SELECT schedule[ord + 1].label AS label)")
+def capped_schedule(spark: SparkSession, root: str) -> DataFrame:
+    """The first two schedule entries of each extraction, as lists in reports show them."""
+    e = table(spark, root, "extractions").select("extraction_id", F.posexplode(F.slice("schedule", 1, 2)).alias("ord", "s"))
+    return e.select("extraction_id", F.col("ord").cast("bigint").alias("ord"), "s.label")
+
+
+@query("""
+WITH n AS (SELECT notice_id, max(posted_at) AS posted, min(title) AS title FROM notices GROUP BY 1)
+SELECT notice_id, title FROM n ORDER BY posted DESC NULLS LAST, notice_id LIMIT 10
+""")
+def latest_notices(spark: SparkSession, root: str) -> DataFrame:
+    n = table(spark, root, "notices").groupBy("notice_id").agg(F.max("posted_at").alias("posted"), F.min("title").alias("title"))
+    return reports.ranked(n, [F.desc_nulls_last("posted"), F.asc("notice_id")], 10).select("notice_id", "title")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_moments, p6_found, p6_amounts)}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
