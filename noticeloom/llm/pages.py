@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from noticeloom.llm.canonical import canonical
 from noticeloom.llm.mojibake import with_repair
+from noticeloom.session import materialise
 
 #: The line of the notice number, which follows the title; the second form is one that lost its letters.
 NUMBER = r"공고\s*제?\s*20\d\d\s*-\s*\d+\s*호|^[^\d-]*�[^\d-]*20\d\d-\d{3,5}[^\d-]{0,4}$"
@@ -90,7 +91,8 @@ def page_lines(source_documents: DataFrame) -> DataFrame:
         F.when(F.col("line_no") == F.col("title"), "title").when(F.col("line_no") == F.col("number"), "number")
         .when(F.col("line_no") < F.col("title"), "before").otherwise("after")
     )
-    rows = rows.select("src_doc_id", "page", "line_no", "line", zone.alias("zone"), masked(F.col("line")).alias("key"))
+    # several joins read the lines, so the repaired texts are cut once
+    rows = materialise(rows.select("src_doc_id", "page", "line_no", "line", zone.alias("zone")), "page-lines").withColumn("key", masked(F.col("line")))
     votes = rows.groupBy("key").agg(
         F.count_if(~F.col("page") & (F.col("zone") == "after")).alias("body_n"), F.count_if(F.col("page") & (F.col("zone") == "before")).alias("before_n"),
         F.count_if(F.col("page") & (F.col("zone") == "after")).alias("after_n"), F.count_if(F.col("zone") == "title").alias("title_n"),
@@ -104,7 +106,7 @@ def page_lines(source_documents: DataFrame) -> DataFrame:
 def _judge(votes: DataFrame) -> DataFrame:
     """key and is_body for each distinct line; votes has one row a key."""
     lost = F.col("key").contains("�")
-    keyed = votes.withColumn("c", F.pandas_udf(_classes, _CLASSES)("key")).select("*", "c.exact", "c.two", "c.one").drop("c")
+    keyed = materialise(votes.withColumn("c", F.pandas_udf(_classes, _CLASSES)("key")).select("*", "c.exact", "c.two", "c.one").drop("c"), "page-classes")
     known = keyed.where(~lost)
     sums = lambda p: [F.sum("body_n").alias(f"{p}_body"), F.sum(F.col("before_n") + F.col("after_n")).alias(f"{p}_page"), F.sum("before_n").alias(f"{p}_before"), F.sum("title_n").alias(f"{p}_title")]
     exact, two, one = (known.groupBy(k).agg(*sums(k)) for k in ("exact", "two", "one"))
