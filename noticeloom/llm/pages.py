@@ -77,14 +77,14 @@ def _titled(docs: DataFrame) -> DataFrame:
     return lines.withColumn("title", F.coalesce(at, F.lit(-1)))
 
 
-def page_lines(source_documents: DataFrame) -> DataFrame:
+def page_lines(source_documents: DataFrame, with_line: bool = True) -> DataFrame:
     """Each non-blank line of html documents: src_doc_id, line_no, line, body.
 
     A page without a number line has no title to go by, so its lines are all judged by class. Null, empty and blank
-    texts have no lines. A repeated src_doc_id counts once, of differing rows the smallest text.
+    texts have no lines. Each line comes once, whatever the repeated rows; a repeated page votes once more. Without
+    with_line the lines' texts, which only bodies needs, are left out.
     """
-    docs = source_documents.where("text IS NOT NULL").groupBy("src_doc_id").agg(F.min(F.struct("kind", "text")).alias("d"))
-    docs = docs.select("src_doc_id", F.col("d.kind").alias("kind"), F.col("d.text").alias("text")).where("kind IS NULL OR kind <> 'image'")
+    docs = source_documents.where("text IS NOT NULL AND (kind IS NULL OR kind <> 'image')").select("src_doc_id", "kind", "text")
     docs = _titled(with_repair(docs).select("src_doc_id", "kind", F.col("repair.fixed").alias("text")))
     rows = docs.select("src_doc_id", (F.coalesce("kind", F.lit("")) == "html").alias("page"), "number", "title", F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(r"(?U)\S"))
     zone = (
@@ -92,7 +92,8 @@ def page_lines(source_documents: DataFrame) -> DataFrame:
         .when(F.col("line_no") < F.col("title"), "before").otherwise("after")
     )
     # several joins read the lines, so the repaired texts are cut once
-    rows = materialise(rows.select("src_doc_id", "page", "line_no", "line", zone.alias("zone")), "page-lines").withColumn("key", masked(F.col("line")))
+    line = ["line"] if with_line else []
+    rows = materialise(rows.select("src_doc_id", "page", "line_no", *line, zone.alias("zone"), masked(F.col("line")).alias("key")), "page-lines")
     votes = rows.groupBy("key").agg(
         F.count_if(~F.col("page") & (F.col("zone") == "after")).alias("body_n"), F.count_if(F.col("page") & (F.col("zone") == "before")).alias("before_n"),
         F.count_if(F.col("page") & (F.col("zone") == "after")).alias("after_n"), F.count_if(F.col("zone") == "title").alias("title_n"),
@@ -100,7 +101,7 @@ def page_lines(source_documents: DataFrame) -> DataFrame:
     judged = _judge(votes)
     pages = rows.where("page").join(judged, "key", "left")
     body = F.when(F.col("zone").isin("title", "number"), True).when(F.col("zone") == "before", False).otherwise(F.coalesce("is_body", F.lit(True)))
-    return pages.select("src_doc_id", "line_no", "line", body.alias("body"))
+    return pages.select("src_doc_id", "line_no", *line, body.alias("body"))
 
 
 def _judge(votes: DataFrame) -> DataFrame:
@@ -130,10 +131,10 @@ def _judge(votes: DataFrame) -> DataFrame:
 
 def surroundings(lines: DataFrame) -> DataFrame:
     """src_doc_id and line_no of lines that aren't part of the body."""
-    return lines.where(~F.col("body")).select("src_doc_id", "line_no")
+    return lines.where(~F.col("body")).select("src_doc_id", "line_no").distinct()
 
 
 def bodies(lines: DataFrame) -> DataFrame:
     """src_doc_id and text: the body of each page, lines in order; a page without body lines has none."""
-    kept = lines.where("body").groupBy("src_doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    kept = lines.where("body").groupBy("src_doc_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "line"))).alias("x"))
     return kept.select("src_doc_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))

@@ -20,7 +20,7 @@ def p1_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return pages.surroundings(pages.page_lines(table(spark, root, "source_documents")))
+    return pages.surroundings(pages.page_lines(table(spark, root, "source_documents"), with_line=False))
 
 
 def p3_bodies(spark: SparkSession, root: str) -> DataFrame:
