@@ -84,24 +84,29 @@ def page_lines(source_documents: DataFrame, with_line: bool = True) -> DataFrame
     texts have no lines. Each line comes once, whatever the repeated rows; a repeated page votes once more. Without
     with_line the lines' texts, which only bodies needs, are left out.
     """
-    docs = source_documents.where("text IS NOT NULL AND (kind IS NULL OR kind <> 'image')").select("src_doc_id", "kind", "text")
-    docs = _titled(with_repair(docs).select("src_doc_id", "kind", F.col("repair.fixed").alias("text")))
-    rows = docs.select("src_doc_id", (F.coalesce("kind", F.lit("")) == "html").alias("page"), "number", "title", F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(r"(?U)\S"))
+    texts = source_documents.where("text IS NOT NULL").select("src_doc_id", "text", "kind")
+    line = ["line"] if with_line else []
+    # several joins read the pages' lines, so they are cut once; the other documents' only vote
+    pages = materialise(_zoned(texts.where("kind = 'html'")).select("src_doc_id", "line_no", *line, "zone", "key"), "page-lines")
+    others = _zoned(texts.where("kind IS NULL OR kind NOT IN ('html', 'image')"))
+    none, zone = F.lit(0).cast("bigint"), F.col("zone")
+    votes = others.groupBy("key").agg(F.count_if(zone == "after").alias("body_n"), none.alias("before_n"), none.alias("after_n"), F.count_if(zone == "title").alias("title_n"))
+    own = pages.groupBy("key").agg(none.alias("body_n"), F.count_if(zone == "before").alias("before_n"), F.count_if(zone == "after").alias("after_n"), F.count_if(zone == "title").alias("title_n"))
+    votes = votes.unionByName(own).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("body_n", "before_n", "after_n", "title_n")])
+    pages = pages.join(_judge(votes), "key", "left")
+    body = F.when(zone.isin("title", "number"), True).when(zone == "before", False).otherwise(F.coalesce("is_body", F.lit(True)))
+    return pages.select("src_doc_id", "line_no", *line, body.alias("body"))
+
+
+def _zoned(docs: DataFrame) -> DataFrame:
+    """src_doc_id, line_no, line, key and zone (before, title, number or after) of each non-blank line."""
+    docs = _titled(with_repair(docs.select("src_doc_id", "text")).select("src_doc_id", F.col("repair.fixed").alias("text")))
+    rows = docs.select("src_doc_id", "number", "title", F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(r"(?U)\S"))
     zone = (
         F.when(F.col("line_no") == F.col("title"), "title").when(F.col("line_no") == F.col("number"), "number")
         .when(F.col("line_no") < F.col("title"), "before").otherwise("after")
     )
-    # several joins read the lines, so the repaired texts are cut once
-    line = ["line"] if with_line else []
-    rows = materialise(rows.select("src_doc_id", "page", "line_no", *line, zone.alias("zone"), masked(F.col("line")).alias("key")), "page-lines")
-    votes = rows.groupBy("key").agg(
-        F.count_if(~F.col("page") & (F.col("zone") == "after")).alias("body_n"), F.count_if(F.col("page") & (F.col("zone") == "before")).alias("before_n"),
-        F.count_if(F.col("page") & (F.col("zone") == "after")).alias("after_n"), F.count_if(F.col("zone") == "title").alias("title_n"),
-    )
-    judged = _judge(votes)
-    pages = rows.where("page").join(judged, "key", "left")
-    body = F.when(F.col("zone").isin("title", "number"), True).when(F.col("zone") == "before", False).otherwise(F.coalesce("is_body", F.lit(True)))
-    return pages.select("src_doc_id", "line_no", *line, body.alias("body"))
+    return rows.select("src_doc_id", "line_no", "line", masked(F.col("line")).alias("key"), zone.alias("zone"))
 
 
 def _judge(votes: DataFrame) -> DataFrame:
