@@ -50,7 +50,7 @@ def compact_form(text: Column) -> Column:
 
 def contacts(text: Column) -> Column:
     """Struct of distinct phones and emails in order of appearance, trimmed."""
-    found = lambda p: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.trim), lambda x: x != ""))
+    found = lambda p: F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda x: F.trim(x)), lambda x: x != ""))
     return F.struct(found(PHONE).alias("phones"), found(EMAIL).alias("emails"))
 
 
