@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from noticeloom.session import materialise
+
 #: A length is a spike if so many texts have it, and so many times more than the lengths around it have on average.
 SPIKE_COUNT, SPIKE_RATIO, AROUND = 5, 6.0, 15
 #: Ends that are whole whatever came before: sentence ends, brackets, numbers, links, closings, table rows.
@@ -58,9 +60,11 @@ def ends(documents: DataFrame) -> DataFrame:
     last = segs.select("doc_id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.element_at("segs", -1).alias("end"))
     last = last.withColumn("key", F.regexp_replace(_masked(F.col("end")), r"^\s+", ""))
     last = last.withColumn("lw", F.element_at(F.split("key", " "), -1)).withColumn("p", F.substring("key", F.lit(1), F.length("key") - F.length("lw")))
-    last = last.withColumn("c", F.substring("lw", 1, 1))
+    # read by three joins
+    last = materialise(last.withColumn("c", F.substring("lw", 1, 1)), "text-ends")
     whole = segs.select(F.explode(F.filter("segs", lambda s, i: (i < F.size("segs") - 1) | s.rlike(TERMINAL) & ~s.rlike(CUT_MARK))).alias("s"))
     # segments repeat much, so they are made distinct before their beginnings are spelled out
+    whole = whole.select(F.regexp_replace("s", "[0-9]+", "0").alias("s")).distinct()
     whole = whole.select(F.regexp_replace(_masked(F.col("s")), r"^\s+|\s+$", "").alias("s")).distinct()
     words = whole.select("s", F.split("s", " ").alias("ws"))
     begin = words.select("s", F.posexplode("ws").alias("i", "w"), "ws").select(
