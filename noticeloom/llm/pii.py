@@ -23,6 +23,8 @@ REGIONS = "서울특별시 부산광역시 대구광역시 인천광역시 광
 SURNAMES = "김이박최정강조윤장임한오서신권황안송류유홍전고문양손배백허남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용예봉경사부가"
 LONG_SURNAMES = "남궁 제갈 선우 독고 황보 사공 서문 동방".split()
 TITLES = "부장 과장 차장 대리 책임 선임 팀장 실장 국장 센터장 본부장 원장 이사 대표 사장 매니저 사무관 서기관 연구원 주무관 주임 사원 담당관 간사 교수 박사 위원 위원장 변호사 회계사 컨설턴트 멘토 강사 님 씨".split()
+#: Words that a person's name stands after.
+CUES = "담당자 대표자 신청자 수혜자 작성자 책임자 성명 이름 대표 심사위원 문의처 연락처 강사 멘토".split()
 
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {c: 0x20 for c in (0xA0, 0x2007, 0x2009, 0x202F, 0x3000, 0x2002, 0x2003, 0x2005, 0x2006, 0x2008, 0x200A, 0x205F)} | {c: 0x2D for c in (0x2010, 0x2011, 0x2012, 0x2013, 0x2212)}
 _INVISIBLE = re.compile("[​-‏⁠-⁤﻿­‪-‮]")
@@ -47,7 +49,13 @@ WESTERN = regex.compile(r"\d+(?:-\d+)?,?\s[A-Z][a-z]+(?:-[a-z]+)*-(?:daero|ro|gi
 _NAME = rf"(?:(?:{'|'.join(LONG_SURNAMES)})[가-힣]{{1,2}}|[{SURNAMES}][가-힣]{{2}})"
 _TITLE = "|".join(sorted(TITLES, key=len, reverse=True))
 #: A name after a cue, with what may stand between; before a title; in a table beside contact data.
-AFTER_CUE = regex.compile(rf"(?:담당자|대표자|신청자|수혜자|작성자|책임자|성명|이름|대표|심사위원|문의처|연락처|강사|멘토)(?:인)?(?:\s*[:：]\s*|\s+)(?:\S+(?:팀|실|부|과|센터|본부)\s+)?(?P<name>{_NAME})(?=\s*(?:[/(),|]|{_TITLE}|$|\n)|\s+(?:{_TITLE})|\s*\()")
+AFTER_CUE = regex.compile(rf"(?:{'|'.join(CUES)})(?:인)?(?:\s*[:：]\s*|\s+)(?:\S+(?:팀|실|부|과|센터|본부)\s+)?(?P<name>{_NAME})(?=\s*(?:[/(),|]|{_TITLE}|$|\n)|\s+(?:{_TITLE})|\s*\()")
+#: A further name after one that a cue gave, behind a comma.
+FURTHER = regex.compile(rf"\s*(?:(?:{_TITLE})\s*)?[,、·]\s*(?P<name>{_NAME})(?=\s*(?:[/(),、·|]|{_TITLE}|$|\n))")
+#: The head of a list of persons, its entries, and an entry that is a name, with what may stand around it.
+LIST = regex.compile(r"명단[^\S\n]*(?:\([^()\n]*\)[^\S\n]*)?[:：]")
+ENTRY = regex.compile(r"(?:\([^()\n]*\)|[^,、·;/()])+")
+LISTED = regex.compile(rf"\s*(?:\d+[.)]\s*)?(?P<name>{_NAME})(?:\s*(?:{_TITLE}))?(?:\s*\([^()]*\))?(?:\s*(?:외|등)(?:\s*\d+\s*[명인])?)?[\s.]*")
 AFTER_TITLE = regex.compile(rf"(?:{_TITLE})\s(?P<name>{_NAME})(?=에게|께|님|이|가|은|는|,|\s|\()")
 TABLE = regex.compile(rf"\s*\d+\s\|\s[^|\n]+\s\|\s(?P<name>{_NAME})\s\|\s")
 WESTERN_NAME = regex.compile(r"Contact(?: person)?:\s(?P<name>\p{Lu}[\p{L}'-]+(?:\s\p{Lu}[\p{L}'.-]*){1,2})(?=,|\s\(|$|\n)")
@@ -62,7 +70,7 @@ def anchors():
     cues: dict[str, list[str]] = {
         "email": ["@", "[at]", "(at)"],
         "phone": ["+", "(0", "010", "011", "016", "017", "018", "019", "02", "070", "080", "050", *(f"0{i}" for i in range(31, 70)), *(f"1{i}" for i in range(5, 10))],
-        "name": ["담당자", "대표자", "신청자", "수혜자", "작성자", "책임자", "성명", "심사위원", "Contact", *(f" {t}" for t in TITLES), " | "],
+        "name": [*CUES, "명단", "Contact", *(f" {t}" for t in TITLES), " | "],
         "address": ["로 ", "길 ", "번지", "-ro,", "-daero,", "-gil,", *(f"로{i}" for i in range(10)), *(f"길{i}" for i in range(10))],
     }
     for kind, words in cues.items():
@@ -102,11 +110,35 @@ def _line(text: str, at: int) -> tuple[int, int]:
     return text.rfind("\n", 0, at) + 1, len(text) if end < 0 else end
 
 
+def _listed(text: str, at: int) -> Iterator:
+    """The names of a list of persons; it goes on in the next line after a comma at the end of one."""
+    head = LIST.match(text, at)
+    if not head:
+        return
+    end = _line(text, at)[1]
+    while end < len(text) and text[head.end() : end].rstrip()[-1:] in (",", "、"):
+        end = _line(text, end + 1)[1]
+    for entry in ENTRY.finditer(text, head.end(), end):
+        yield LISTED.fullmatch(text, *entry.span())
+
+
+def _cued(text: str, at: int) -> Iterator:
+    """The name after a cue, and those that follow it behind commas."""
+    m = AFTER_CUE.match(text, at)
+    while m:
+        yield m
+        m = FURTHER.match(text, m.end("name"))
+
+
 def _names(text: str, anchored: list[int]) -> Iterator[tuple[int, int, str]]:
     tables = set()
     for at in anchored:
-        if text[at] != " ":
-            found = [(WESTERN_NAME if text[at] == "C" else AFTER_CUE).match(text, at)]
+        if text[at] == "C":
+            found = [WESTERN_NAME.match(text, at)]
+        elif text.startswith("명단", at):
+            found = [*_listed(text, at)]
+        elif text[at] != " ":
+            found = [*_cued(text, at)]
         elif text[at + 1] == "|":
             start, end = _line(text, at)
             if start in tables:
@@ -178,7 +210,7 @@ def mentions(original: str) -> list[tuple[int, int, str]]:
 
 
 #: Words of three syllables that begin like a surname.
-_NOT_NAMES = regex.compile(r"(?:지원금|주민등|이력서|나이는|전원이|기업의|대표자|담당자|연락처|주무관|사무관|연구원|매니저|전문가|책임자|심사위|위원장|부재시|확인후|신청자|공동대|이하여|전담인|지정양|경우에|성장팀|사업팀|지원팀|협력팀|정책팀|기업성|창업지|청년정|사업운|기술사|글로벌)")
+_NOT_NAMES = regex.compile(r"(?:지원금|주민등|이력서|나이는|전원이|기업의|대표자|담당자|연락처|주무관|사무관|연구원|매니저|전문가|책임자|심사위|위원장|부재시|확인후|신청자|공동대|이하여|전담인|지정양|경우에|성장팀|사업팀|지원팀|협력팀|정책팀|기업성|창업지|청년정|사업운|기술사|글로벌|이메일|전화번|주소지|문의처|고객센|사무국|사무실|안내문|신청서|지원서|주민센)")
 
 
 def _complete(address: str) -> bool:

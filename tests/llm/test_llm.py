@@ -75,6 +75,19 @@ def test_pii():
     assert pii.mentions("") == [] and pii.mentions("가나다 " * 30_000) == []
 
 
+def test_pii_person_lists():
+    def names(text):
+        return [text[p : p + n] for p, n, k in pii.mentions(text) if k == "name"]
+
+    assert names("평가위원 명단: 조온울, 한가솔 교수, 남궁해결(가람대), 홍OO 외 2명") == ["조온울", "한가솔", "남궁해결"]
+    assert names("참석자 명단（2024）：서해온，\n정초랑\n선정자 명단: 공고문 참조, 이의신청") == ["서해온", "정초랑"]
+    assert names("명단: 김도봄" + ", 김도봄" * 999) == ["김도봄"] * 1000
+    assert names("심사위원: 송늘슬, 정가담, 황라담 위원") == ["송늘슬", "정가담", "황라담"]
+    for cue in pii.CUES:
+        assert names(f"{cue}: 한가결 (가람시)") == ["한가결"], cue
+    assert names("담당자: 한가결, 이메일, 전화") == ["한가결"] and names("제출 명단: 신청서, 이력서") == [] and names("대표 이메일(a@b.example)") == []
+
+
 def test_pii_tables(spark):
     docs = spark.createDataFrame([(1, "a@b.kr 그리고 010-1234-5678 끝", "x"), (2, None, "x"), (3, "", "x")], "src_doc_id bigint, text string, mentions string").drop("mentions")
     contacts = spark.createDataFrame([(1, ["010-1234-5678", None, "내선 450", "a@b.kr"], None), (1, ["010-1234-5678", None, "내선 450", "a@b.kr"], None), (2, [], [""])], "contact_id bigint, phones array<string>, emails array<string>")
