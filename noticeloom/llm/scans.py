@@ -4,7 +4,8 @@ Headers are found by fuzzy repetition of a document's first line, page numbers b
 vocabulary of the texts that weren't scanned: of two neighbouring lines the last and first word are joined where the
 corpus knows the whole better than the pair, and a word is misread where the corpus doesn't know it but knows one
 that looks alike. Looking alike is a fold: digits and the letters they are taken for, and Hangul by classes of vowels
-and finals. All of it is Spark expressions; vocabulary, pairs and verdicts are joined, so none must fit one machine.
+and finals; as ㅡ is taken for ㅗ and for ㅜ but these not for each other, words of one fold are also held against each
+other in these vowels. All of it is Spark expressions; vocabulary, pairs and verdicts are joined, so none must fit one machine.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ from noticeloom.llm.mojibake import with_repair
 from noticeloom.session import materialise
 
 #: Vowels and finals of Hangul, by their place in Unicode, that recognition confuses.
-VOWELS = ("ㅏㅑ", "ㅓㅕㅣ", "ㅗㅛㅡ", "ㅜㅠ", "ㅐㅔㅒㅖ", "ㅘㅙ", "ㅝㅟㅞ", "ㅢㅚ")
+VOWELS = ("ㅏㅑ", "ㅓㅕㅣ", "ㅗㅛㅡㅜㅠ", "ㅐㅔㅒㅖ", "ㅘㅙ", "ㅝㅟㅞ", "ㅢㅚ")
 FINALS = ("ㅈㅊ", "ㄱㅋ", "ㅁㅇ")
 VOWEL_ORDER = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
 FINAL_ORDER = " ㄱㄲㄳㄴㄵㄶㄷㄹㄺㄻㄼㄽㄾㄿㅀㅁㅂㅄㅅㅆㅇㅈㅊㅋㅌㅍㅎ"
-#: Letters that digits are taken for.
+#: Vowels of one class that recognition doesn't confuse, each with its mark; ㅡ is between them.
+APART = {"ㅗㅛ": "o", "ㅜㅠ": "u", "ㅡ": "-"}
+#: Letters that digits are taken for, and letters taken for each other.
 DIGIT_LIKE = {"O": "0", "o": "0", "I": "1", "l": "1", "S": "5", "B": "8", "Z": "2"}
+LETTER_LIKE = {"K": "R"}
 #: A page number alone on its line, with letters for digits.
 PAGE_NO = r"^\s*(?:[Pp]age\s*{d}|[Pp]\.\s*{d}|[-–‐]\s*{d}\s*[-–‐]|제\s*{d}\s*쪽|{d}\s*/\s*{d}|[\[〔(<]\s*{d}\s*[\]〕)>]|{d}\s*쪽|{d})\s*$".replace("{d}", "[0-9OoIlSBZ]{1,3}")
 #: The line of the notice number, in folded letters, see fold().
@@ -54,7 +58,7 @@ def _hangul_fold() -> tuple[str, str]:
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[dict, dict]:
-    return str.maketrans(DIGIT_LIKE), str.maketrans(*_hangul_fold())
+    return str.maketrans(DIGIT_LIKE | LETTER_LIKE), str.maketrans(*_hangul_fold())
 
 
 _DIGITS = regex.compile("[0-9]+")
@@ -72,12 +76,35 @@ def fold(text: str) -> str:
     return mask(text.translate(digits)).translate(hangul)
 
 
-def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@lru_cache(maxsize=1)
+def _marks() -> dict[str, str]:
+    by_vowel = {VOWEL_ORDER.index(v): mark for vowels, mark in APART.items() for v in vowels}
+    return {chr(0xAC00 + code): by_vowel[v] for code in range(11172) if (v := code % 588 // 28) in by_vowel}
+
+
+def marks(text: str) -> str:
+    """The vowels in which texts of one fold may still differ, see APART; equally many for all of them."""
+    by_sign = _marks()
+    return "".join([by_sign[c] for c in text if c in by_sign])
+
+
+def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for words in batches:
-        yield pd.Series([fold(w) if isinstance(w, str) else None for w in words], dtype="object")
+        rows = [(fold(w), marks(w)) if isinstance(w, str) else (None, None) for w in words]
+        yield pd.DataFrame(rows, columns=["f", "u"], dtype="object")
+
 
+folded = F.pandas_udf(_fold, T.StructType([T.StructField("f", T.StringType()), T.StructField("u", T.StringType())]))
 
-folded = F.pandas_udf(_fold, T.StringType())
+
+def with_fold(df: DataFrame) -> DataFrame:
+    """Adds the fold f and the marks u of the word m."""
+    return df.withColumn("_fold", folded("m")).select("*", "_fold.f", "_fold.u").drop("_fold")
+
+
+def alike(u: str, v: str) -> Column:
+    """Whether words of one fold with these marks look alike: nowhere ㅗ against ㅜ."""
+    return F.expr(f"{u} = {v} OR NOT exists(sequence(1, length({u})), i -> substring({u}, i, 1) <> substring({v}, i, 1) AND substring({u}, i, 1) <> '-' AND substring({v}, i, 1) <> '-')")
 
 
 def masked(word: Column) -> Column:
@@ -211,14 +238,13 @@ def page_noise(source_documents: DataFrame) -> DataFrame:
     """
     pieces = materialise(scanned_documents(source_documents).mapInArrow(_cut, _PIECES), "scan-pieces")
     counted = materialise(vocabulary(source_documents.where((F.col("text") != "") & ~is_scanned()).select("text")), "scan-words")
-    words = counted.groupBy("m").agg(F.sum("n").alias("n")).withColumn("f", folded("m"))
-    words = materialise(words, "scan-vocabulary")
-    classes = words.groupBy("f").agg(F.sum("n").alias("n"), F.max_by("m", F.struct("n", "m")).alias("best"))
+    words = materialise(with_fold(counted.groupBy("m").agg(F.sum("n").alias("n"))), "scan-vocabulary")
+    classes = words.groupBy("f", "u").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("m", F.struct("n", "m")).alias("best"))
     edges = pieces.where("role <> 'line'").select("src_doc_id", "line_no", F.col("role").alias("noise_kind"))
     misread = F.lit("misread").alias("noise_kind")
     inside = pieces.where("role = 'line'").select("src_doc_id", "line_no", F.explode("ms").alias("m"))
-    unknown = inside.select("m").distinct().join(words.select("m"), "m", "left_anti").withColumn("f", folded("m"))
-    suspects = unknown.join(classes, "f").where("m <> best").select("m")
+    unknown = inside.select("m").distinct().join(words.select("m"), "m", "left_anti")
+    suspects = _looked_up(with_fold(unknown), classes).where("m <> best").select("m")
     wrong = inside.join(suspects, "m").select("src_doc_id", "line_no", misread)
     ends = pieces.where("role = 'line' AND next_no IS NOT NULL").select("src_doc_id", "line_no", "next_no", "m", "m2", "j", "hyphen")
     verdicts = materialise(_pair_verdicts(ends.select("m", "m2", "j", "hyphen").distinct(), counted, words, classes), "scan-verdicts")
@@ -228,20 +254,28 @@ def page_noise(source_documents: DataFrame) -> DataFrame:
     return edges.unionByName(split).unionByName(wrong.distinct())
 
 
+def _looked_up(asked: DataFrame, classes: DataFrame) -> DataFrame:
+    """The words asked for that look like known ones, with how often the corpus has these and which of them most often."""
+    near = asked.join(classes.withColumnRenamed("u", "v"), "f").where(alike("u", "v"))
+    return near.groupBy(*asked.columns).agg(F.sum("n").alias("n"), F.max_by("best", F.struct("top", "best")).alias("best"))
+
+
 def _pair_verdicts(pairs: DataFrame, counted: DataFrame, words: DataFrame, classes: DataFrame) -> DataFrame:
     """For each pair at a line end: split, and whether the word of the first and of the second line is misread.
 
     A pair without hyphen is one word where the corpus has the whole more often than the pair side by side, or knows
     neither the whole, nor the pair, nor any half of it.
     """
-    p = pairs.withColumn("f1", folded("m")).withColumn("f2", folded("m2")).withColumn("fj", folded("j"))
-    folds = words.select("m", "f")
-    wanted = counted.where("m2 IS NOT NULL").join(folds.withColumnRenamed("f", "f1"), "m").join(folds.select(F.col("m").alias("m2"), F.col("f").alias("f2")), "m2")
-    bigrams = wanted.groupBy("f1", "f2").agg(F.sum("n").alias("n_pair"))
-    p = p.join(bigrams, ["f1", "f2"], "left")
+    asked = pairs.select(F.explode(F.array("m", "m2", "j")).alias("m")).distinct().join(words.select("m", F.lit(True).alias("known")), "m", "left")
+    looked = materialise(_looked_up(with_fold(asked), classes), "scan-looked-up")
+    p = pairs
     for side, own in (("1", "m"), ("2", "m2"), ("j", "j")):
-        p = p.join(classes.select(F.col("f").alias(f"f{side}"), F.col("n").alias(f"n{side}"), F.col("best").alias(f"best{side}")), f"f{side}", "left")
-        p = p.join(words.select(F.col("m").alias(own), F.lit(True).alias(f"known{side}")), own, "left")
+        p = p.join(looked.select(F.col("m").alias(own), *[F.col(c).alias(f"{c}{side}") for c in ("f", "u", "n", "best", "known")]), own, "left")
+    folds = words.select("m", F.col("f").alias("f1"), F.col("u").alias("v1"))
+    wanted = counted.where("m2 IS NOT NULL").join(folds, "m").join(folds.toDF("m2", "f2", "v2"), "m2").groupBy("f1", "v1", "f2", "v2").agg(F.sum("n").alias("n"))
+    keys = ["f1", "u1", "f2", "u2"]
+    bigrams = p.select(*keys).distinct().join(wanted, ["f1", "f2"]).where(alike("u1", "v1") & alike("u2", "v2")).groupBy(*keys).agg(F.sum("n").alias("n_pair"))
+    p = p.join(bigrams, keys, "left")
     p = p.fillna(0, ["n1", "n2", "nj", "n_pair"]).fillna(False, ["known1", "known2", "knownj"])
     whole = (F.col("nj") > F.col("n_pair")) | F.expr("nj = 0 AND n_pair = 0 AND n1 = 0 AND n2 = 0")
     p = p.withColumn("split", F.col("hyphen") | whole)

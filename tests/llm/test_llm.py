@@ -108,6 +108,16 @@ def test_scans(spark):
     assert scans.page_noise(df.limit(0)).collect() == []
 
 
+def test_scans_vowels_and_letters(spark):
+    clean = "지원금은 현금과 지방세를 R&D 중소벤처 수수료 확인\n그 츠금은 좋은 사업이다"
+    # 쇼쇼료 has ㅗ for ㅜ, which isn't confused; 초굼운 has ㅗ and ㅜ for the ㅡ of 츠금은
+    lines = ["가나", "가 지윈귬은 나", "가 현귬과 나", "가 지방세룰 나", "가 K&D 나", "가 중소벤처 나", "가 쇼쇼료 나", "가 초굼운 나", "나 지방세룰", "현귬과 나"]
+    rows = [(1, "image", "\n".join(lines)), *[(10 + i, "text", clean) for i in range(4)]]
+    df = spark.createDataFrame(rows, "src_doc_id bigint, kind string, text string")
+    got = sorted(r["line_no"] for r in scans.page_noise(df).collect() if r["noise_kind"] == "misread")
+    assert got == [1, 2, 3, 4, 7, 8, 9]
+
+
 def test_tokens_match_reference_library():
     import tiktoken
 
