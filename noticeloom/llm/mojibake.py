@@ -8,6 +8,8 @@ so foreign names and symbols stay. Repair is repeated, as some texts were garble
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +22,7 @@ SIGNS = "·※○●◎□■◇◆△▲▽▼▶▷◀◁☆★→←↑↓↔
 #: The most common syllables of Korean official prose.
 COMMON = "이다는의에을를가지고하기로은서한사업원신청자인대해정도시제나일어아보수공스여리있라부조상전주안요비용내구관그과만들전성연장중소경유무개발간분야동세계국민체선발표문교육생활상담회센터재단진흥청년창출접결통운영평심협약마감직무료등록번호출력매월당최총억천백십외확금임"
 #: Marks of a text that is worth a look: Latin letters with marks, Chinese signs, control codes, the replacement sign.
-SUSPECT = "[\u0080-\u009f¡¢À-ÿ一-鿿�쨌]"
+SUSPECT = "[\u0080-\u009f¡¢À-ÿ一-鿿\uf900-\ufaff�쨌]"
 #: Repairs of texts that were garbled so many times.
 DEPTH = 3
 
@@ -72,23 +74,66 @@ def automaton():
 
 
 @lru_cache(maxsize=1)
-def _utf8_as_euc() -> frozenset[str]:
-    """Chinese signs that the first two bytes of a Hangul syllable in UTF-8 make when read as cp949."""
-    out = set()
-    for lead in (0xEA, 0xEB, 0xEC, 0xED):
-        for trail in range(0x80, 0xC0):
+def _cp949() -> dict[str, bytes]:
+    """Two bytes of each sign that cp949 reads UTF-8 as, and of the common form of those that have a compatibility form."""
+    out: dict[str, bytes] = {}
+    for lead in range(0x81, 0xFF):
+        for trail in range(0x41, 0xFF):
             try:
                 c = bytes([lead, trail]).decode("cp949")
             except UnicodeDecodeError:
                 continue
-            if "一" <= c <= "鿿":
-                out.add(c)
-    return frozenset(out)
+            if len(c) == 1:
+                out[c] = bytes([lead, trail])
+    for c, raw in list(out.items()):  # no Hangul in UTF-8 gives the common form's own bytes
+        if "\uf900" <= c <= "\ufaff" and 0xEA <= raw[0] <= 0xED and not 0xEA <= out.get(own := unicodedata.normalize("NFC", c), b"\0")[0] <= 0xED:
+            out[own] = raw
+    return out
+
+
+@lru_cache(maxsize=1)
+def _utf8_start():
+    """Pattern of the signs that a Hangul syllable in UTF-8 begins with when read as cp949."""
+    return re.compile("[" + "".join(sorted(c for c, raw in _cp949().items() if 0xEA <= raw[0] <= 0xED and 0x80 <= raw[1] < 0xC0)) + "]")
+
+
+def _back(line: str, at: int) -> tuple[int, str]:
+    """The end of the signs from there that are whole Hangul and signs in UTF-8 read as cp949, and what they were."""
+    table = _cp949()
+    raw, text, end, back = b"", [], at, 0
+    for i in range(at, len(line)):
+        raw += table.get(line[i], b"\0")
+        while raw and len(raw) >= (n := 3 if raw[0] >= 0xE0 else 2):
+            c = raw[:n].decode("utf-8", "replace")
+            if not ("가" <= c <= "힣" or len(c) == 1 and c in SIGNS):
+                return end, "".join(text[:back])
+            text.append(c)
+            raw = raw[n:]
+        if not raw:
+            end, back = i + 1, len(text)
+        elif raw[0] < 0xC2:
+            break
+    return end, "".join(text[:back])
+
+
+def _utf8_as_euc(line: str) -> str:
+    """The line with the spans put back that are UTF-8 read as cp949: two signs at least, a third of them common.
+
+    As bytes straddle, such spans are pairs of syllables, too many for the automaton; so they are decoded in place.
+    """
+    parts, at, m = [], 0, _utf8_start().search(line)
+    while m:
+        end, text = _back(line, m.start())
+        if len(text) >= 2 and 3 * sum(c in _COMMON for c in text) >= len(text):
+            parts += [line[at : m.start()], text]
+            at = end
+        m = _utf8_start().search(line, max(at, m.start() + 1))
+    return "".join(parts) + line[at:]
 
 
 _COMMON = frozenset(COMMON)
 _HAN = regex.compile(r"\p{Han}")
-#: A line of UTF-8 read as cp949, and the middle dot of one that stands alone.
+#: The middle dot of a line of UTF-8 read as cp949 that stands alone.
 _DOT = regex.compile(r"(?<=\p{Hangul})쨌(?=\p{Hangul})")
 
 
@@ -148,11 +193,13 @@ def repair_line(line: str, trusted: frozenset[str] = frozenset()) -> tuple[str,
         line = "".join(parts) + line[at:]
     if "�" in line:
         pairs.add(LOST)
-    elif sum(c in _utf8_as_euc() for c in line) >= 2:
+    elif len(_utf8_start().findall(line)) >= 2:
         try:
             line, pairs = line.encode("cp949").decode("utf-8"), pairs | {UTF8_EUC}
         except UnicodeError:
             pass
+    if (back := _utf8_as_euc(line)) != line:
+        line, pairs = back, pairs | {UTF8_EUC}
     if "쨌" in line and _DOT.search(line):
         line, pairs = _DOT.sub("·", line), pairs | {UTF8_EUC}
     return line, pairs
@@ -189,7 +236,7 @@ def with_repair(df: DataFrame, text: str = "text", out: str = "repair") -> DataF
     """Adds a struct (fixed, pairs, garbled_lines, lost_lines) to each row.
 
     Only texts with a suspect sign reach Python. garbled_lines 0 and an empty list mean that the text is correct; fixed
-    is the text itself then. Lines with replacement signs have lost bytes and stay as they are, counted in lost_lines.
+    is the text itself then. Lines with replacement signs have lost bytes; only their sound spans are put back, and they count in lost_lines.
     """
     typed = F.pandas_udf(_repair, SCHEMA)
     plain = F.struct(F.col(text).alias("fixed"), F.array().cast("array<string>").alias("pairs"), F.lit(0).alias("garbled_lines"), F.lit(0).alias("lost_lines"))

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 
@@ -25,6 +26,18 @@ def test_mojibake_leaves_correct_text():
     assert mojibake.repair_text("��� 안내")[3] == 1
 
 
+def test_mojibake_utf8_as_cp949():
+    bad = lambda text: text.encode().decode("cp949")
+    for text in ("목록보기", "목록", "참여마당"):
+        assert mojibake.repair_text(bad(text)) == (text, [mojibake.UTF8_EUC], 1, 0)
+        # beside correct Hangul, also where the text went through a normal form
+        assert mojibake.repair_text(f"정상 글의 {unicodedata.normalize('NFC', bad(text))}나 URL")[0] == f"정상 글의 {text}나 URL"
+    fixed, pairs, lines, lost = mojibake.repair_text(f"\ufffd {bad('목록')} \ufffd")
+    assert (fixed, lines, lost) == ("\ufffd 목록 \ufffd", 1, 1)
+    for text in ("李씨와 洪씨", "大韓民國 李承晩 박사", "紐約 여행"):
+        assert mojibake.repair_text(text) == (text, [], 0, 0)
+
+
 def test_garbled_records(spark):
     src = spark.createDataFrame([(1, "Â·예비", "x"), (1, "Â·예비", "x"), (2, None, "x"), (3, "", "x"), (4, "정상", "x")], "src_doc_id bigint, text string, fixed string")
     pre = spark.createDataFrame([(1, "â—‹ 가")], "preset_id bigint, text string")
