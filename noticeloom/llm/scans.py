@@ -225,7 +225,7 @@ def vocabulary(clean: DataFrame) -> DataFrame:
     lines = clean.select(F.explode(F.split("text", "\n")).alias("line")).groupBy(masked(F.col("line")).alias("line")).count()
     # lines repeat much in a corpus, so they are counted before they are cut
     ws = lines.select("count", F.filter(F.split("line", r"(?U)\s+"), lambda w: w != "").alias("ws"))
-    pairs = ws.select("count", F.posexplode(F.arrays_zip(F.col("ws").alias("w"), F.slice("ws", 2, 1_000_000).alias("v"))).alias("i", "p"))
+    pairs = ws.select("count", F.posexplode(F.arrays_zip(F.col("ws").alias("w"), F.slice("ws", 2, F.size("ws")).alias("v"))).alias("i", "p"))
     return pairs.groupBy(F.col("p.w").alias("m"), F.col("p.v").alias("m2")).agg(F.sum("count").alias("n")).where("m IS NOT NULL")
 
 

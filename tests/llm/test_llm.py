@@ -131,6 +131,12 @@ def test_scans_vowels_and_letters(spark):
     assert got == [1, 2, 3, 4, 7, 8, 9]
 
 
+def test_vocabulary_of_a_very_long_line(spark):
+    df = spark.createDataFrame([("가 " * 1_000_001 + "나 다",)], "text string")
+    got = {(r["m"], r["m2"]): r["n"] for r in scans.vocabulary(df).collect()}
+    assert got == {("가", "가"): 1_000_000, ("가", "나"): 1, ("나", "다"): 1, ("다", None): 1}
+
+
 def test_tokens_match_reference_library():
     import tiktoken
 
