@@ -1,30 +1,51 @@
-"""The main body of web pages, by a vote on line classes.
+"""The main body of web pages, by consensus paths of each host.
 
-Stored pages have no tags left, so the containers that are scored are lines and their paths are classes of lines: the
-line with numbers, addresses, institutions and regions masked, then its first two words, then its first word. Pages
-vote on the classes through what stands before the notice's title; documents of other kinds, which hold the body
-alone, vote for the body. A page's own lines are then taken by the winning class: everything before the title goes,
-after the notice number every line whose class is voted out.
+Stored pages have no tags left, so containers are what a page's layout still shows: what stands before the notice's
+title, the parts between its headings, and the part behind the last one, in which the body ends and the page goes on.
+The path of a line is its class, the generalised form of what it says: numbers, addresses, institutions and regions
+masked, and, wider, the first two words of that.
 
-Lines that lost signs to a wrong character set are matched by the same loss on the voted lines.
+One pass in Python cuts each page into paths, as hashes. The pages of a host then vote in Spark: how many of them have
+a path behind the last heading, and over how many containers a path is spread. A host's votes are weighed with those of
+all hosts that use the path, so hosts of few pages lean on the others. Winning paths are
+
+* closing paths, which most pages of the host have behind the last heading: there the body ends,
+* strewn paths, which come in any container between headings (banners, heads of lists): such lines go wherever they stand,
+* heading paths of other notices, which begin like titles: such lines go too,
+* opening paths, which most pages have before the title, for pages whose title isn't found.
+
+Each page is then cut again by the winning paths of its host. Lines that lost signs to a wrong character set are matched
+by the same loss on the lines that voted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeloom.llm.canonical import canonical
-from noticeloom.llm.mojibake import with_repair
+from noticeloom.llm.mojibake import repair_text
 from noticeloom.session import materialise
 
 #: The line of the notice number, which follows the title; the second form is one that lost its letters.
-NUMBER = r"공고\s*제?\s*20\d\d\s*-\s*\d+\s*호|^[^\d-]*�[^\d-]*20\d\d-\d{3,5}[^\d-]{0,4}$"
-#: Votes of pages from which on an exact class that no body has counts as voted out.
-VOTES = 5
+NUMBER = regex.compile(r"공고\s*제?\s*20\d\d\s*-\s*\d+\s*호|^[^\d-]*�[^\d-]*20\d\d-\d{3,5}[^\d-]{0,4}$")
+#: A heading, which begins a container.
+HEADING = regex.compile(r"\s*(?:[0-9０-９]{1,2}|[Ⅰ-Ⅹ]|[IVX]{1,4})[.)．]\s")
+#: Share of a host's pages that a closing or opening path needs, pages that the votes of all hosts count as, and pages
+#: without the path that these are joined by, so that a path seen once or twice wins nowhere.
+SHARE, PRIOR, WITHOUT = 0.6, 100, 10
+#: Concentration (the chance that two lines of a path are in one container) under which it is strewn, and lines that
+#: count as being in its commonest container beforehand.
+STREWN, BEFOREHAND = 0.36, 4
+#: A beginning belongs to titles if so many times its titles are as many as its lines in other places.
+TITLED = 5
+#: Parts that each host's pages are split into where they meet its winning paths, as one host may hold most pages.
+SALTS = 16
 
 #: Endings of institutions' names and first syllables of regions.
 _ORG = regex.compile(r"\p{Hangul}+(?:진흥원|재단|센터|산업원|지원단|혁신원|협력단|진흥회|협회|공단|연구원)")
@@ -32,16 +53,16 @@ _REGION = regex.compile(r"(?:서울|부산|대구|인천|광주|대전|울산|
 _MAIL = regex.compile(r"[\w.+-]+\s?(?:@|\[at\]|\(at\))\s?[\w-]+(?:\.[\w-]+)+")
 _PHONE = regex.compile(r"\(?\+?#\)?(?:[-. )]*\(?#\)?)+")
 _NUM = regex.compile(r"\d[\d,]*")
+_DIGITS = regex.compile("[0-9]+")
+_BULLET = regex.compile(r"^[^\p{L}\p{N}#§¤@�]+")
 
 
-def line_class(line: str) -> tuple[str, str, str]:
-    """The paths of a line, from the closest to the widest."""
-    s = canonical(line.strip()).replace("≯", "○").replace("∝", "※")
-    s = _MAIL.sub("@", s)
+def line_class(line: str) -> tuple[str, str]:
+    """The paths of a line, the closer and the wider."""
+    s = _MAIL.sub("@", canonical(line.strip()))
     s = _PHONE.sub("#", _NUM.sub("#", s))
     s = " ".join(_REGION.sub("§", _ORG.sub("¤", s)).split())
-    words = s.split(" ")
-    return s, " ".join(words[:2]), words[0]
+    return s, " ".join(_BULLET.sub("", s).split(" ")[:2])
 
 
 def _lossy(line: str) -> list[str]:
@@ -49,97 +70,178 @@ def _lossy(line: str) -> list[str]:
     return [line.encode("cp949", "ignore").decode("utf-8", "replace"), line.encode().decode("cp949", "replace")]
 
 
-_CLASSES = T.StructType([T.StructField(n, T.StringType()) for n in ("exact", "two", "one")])
+def _hash(text: str) -> int:
+    n = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return n - (1 << 64) if n >> 63 else n
+
+
+@lru_cache(maxsize=200_000)
+def _paths(masked: str) -> tuple[int, ...]:
+    """Hashes of a line's two paths and of what they would be after each loss, 0 where the line would lose nothing."""
+    exact, two = line_class(masked)
+    if "�" in masked:
+        return _hash(masked), _hash(two), 0, 0, 0, 0
+    out = [_hash(exact), _hash(two)]
+    for lossy in _lossy(masked):
+        left = _DIGITS.sub("0", repair_text(lossy)[0].strip())
+        out += [_hash(left), _hash(line_class(left)[1])] if "�" in left else [0, 0]
+    return tuple(out)
+
+
+_NAMES = ("no", "exact", "two", "loss1", "two1", "loss2", "two2", "part", "bits")
+_TYPES = (pa.int32(), *[pa.int64()] * 7, pa.int8())
+_ARROW = pa.schema([("src_doc_id", pa.int64()), ("host", pa.string()), ("text", pa.string()), *[(n, pa.list_(t)) for n, t in zip(_NAMES, _TYPES, strict=True)]])
+_SCHEMA = "src_doc_id bigint, host string, text string, no array<int>, " + ", ".join(f"{n} array<bigint>" for n in _NAMES[1:-1]) + ", bits array<tinyint>"
+#: Where a line stands, as bits, and whether it is the first of its paths there on its page.
+BEFORE, TITLE, ENCLOSED, CLOSING, FIRST, FIRST_TWO = 1, 2, 4, 8, 16, 32
+
+
+def _squeezed(text: str) -> str:
+    return "".join(canonical(text).split())
+
+
+def cut_page(text: str, title: str | None) -> tuple[list[int], ...]:
+    """For each non-blank line its number, paths, what they are after each loss, container and bits; text is repaired.
 
+    The title is the line before the notice number, else the line that the stored title equals. Lines of the number
+    line itself have no bits.
+    """
+    lines = text.split("\n")
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    number = next((i for i in full if NUMBER.search(lines[i])), -1)
+    at = next((i for i in reversed(full) if i < number), -1)
+    if number < 0 and title and title.strip():
+        want = _squeezed(title)
+        number = at = next((i for i in full if _squeezed(lines[i]) == want), -1)
+    last = max((i for i in full if i > number and HEADING.match(lines[i])), default=number)
+    out: tuple[list[int], ...] = tuple([] for _ in _NAMES)
+    seen: set[tuple[int, int]] = set()
+    container = 0
+    for i in full:
+        exact, two, *losses = _paths(_DIGITS.sub("0", lines[i].strip()))
+        if i == at:
+            bits = TITLE
+        elif i == number:
+            bits = 0
+        elif at >= 0 and i < at or at < 0 and i < last:
+            bits = BEFORE if at >= 0 else ENCLOSED
+        else:
+            bits = CLOSING if i > last else ENCLOSED
+        if bits in (BEFORE, CLOSING):
+            bits |= FIRST * ((bits, exact) not in seen) | FIRST_TWO * ((bits, two) not in seen)
+            seen |= {(bits & 15, exact), (bits & 15, two)}
+        if i > number and HEADING.match(lines[i]):
+            container = exact
+        for column, x in zip(out, (i, exact, two, *losses, -1 if bits & BEFORE else container, bits), strict=True):
+            column.append(x)
+    return out
+
+
+def page_paths(source_documents: DataFrame, with_text: bool = False) -> DataFrame:
+    """One row for each html document with a text that isn't blank: its host and its lines' paths, see cut_page.
+
+    with_text keeps the repaired text, which only bodies need. A page without host or URL votes with its like.
+    """
 
-def _classes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for lines in batches:
-        yield pd.DataFrame([line_class(x) for x in lines], columns=["exact", "two", "one"])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500).to_pylist()
+                texts = [repair_text(r["text"])[0] for r in rows]
+                cuts = [cut_page(t, r["title"]) for t, r in zip(texts, rows, strict=True)]
+                lists = [pa.array([c[k] for c in cuts], f.type) for k, f in enumerate(list(_ARROW)[3:])]
+                yield pa.RecordBatch.from_arrays([pa.array([r["src_doc_id"] for r in rows], pa.int64()), pa.array([r["host"] for r in rows], pa.string()), pa.array(texts if with_text else [None] * len(rows), pa.string()), *lists], schema=_ARROW)
 
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
+    pages = source_documents.where((F.col("kind") == "html") & F.col("text").rlike(r"(?U)\S"))
+    return pages.select("src_doc_id", host.alias("host"), "title", "text").mapInArrow(cut, _SCHEMA)
 
-def _losses(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for lines in batches:
-        yield pd.Series([_lossy(x) for x in lines])
 
+def _has(bits: int) -> Column:
+    return F.col("bits").bitwiseAND(F.lit(bits)) == bits
 
-def masked(line: Column) -> Column:
-    """The line with runs of digits as one, trimmed: the key that lines are counted by."""
-    return F.regexp_replace(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""), "[0-9]+", "0")
 
+def winning_paths(paths: DataFrame) -> DataFrame:
+    """One row a host: arrays of its closing, opening and strewn paths (losses with them) and of its titles' beginnings.
 
-def _titled(docs: DataFrame) -> DataFrame:
-    """Adds lines, and the places of the title and the number line, -1 where there is none."""
-    lines = docs.withColumn("lines", F.split("text", "\n", -1))
-    number = F.array_position(F.transform("lines", lambda x: x.rlike(NUMBER)), True).cast("int") - 1
-    lines = lines.withColumn("number", F.coalesce(number, F.lit(-1)))
-    before = F.when(F.col("number") > 0, F.slice("lines", F.lit(1), F.col("number"))).otherwise(F.array().cast("array<string>"))
-    at = F.array_max(F.transform(before, lambda x, i: F.when(x.rlike(r"(?U)\S"), i)))
-    return lines.withColumn("title", F.coalesce(at, F.lit(-1)))
+    Votes are counted by host, path and container first, so a host or line of any size is partly summed where it is
+    read. What a host wins is bounded by the lines of its pages: a path of the share SHARE is on most of them.
+    """
+    lines = paths.select("host", F.posexplode_outer(F.arrays_zip(*_NAMES[1:])).alias("i", "x")).where("x IS NOT NULL").select("host", "x.*")
+    counted = materialise(lines.groupBy("host", "exact", "two", "part").agg(
+        F.count("*").alias("n"), F.count_if(_has(CLOSING | FIRST)).alias("closing"), F.count_if(_has(BEFORE | FIRST)).alias("opening"),
+        F.count_if(_has(CLOSING | FIRST_TWO)).alias("closing_two"), F.count_if(_has(TITLE)).alias("titles"), F.count_if(_has(ENCLOSED)).alias("enclosed"),
+        *[F.max(c).alias(c) for c in ("loss1", "two1", "loss2", "two2")],
+    ), "page-votes")
+    sizes = paths.groupBy("host").agg(F.count("*").alias("pages"))
+    # containers are the same on all hosts, so the lines of all hosts count together; behind the last heading all paths are alike
+    spread = counted.where((F.col("titles") == 0) & (F.col("enclosed") > 0)).groupBy("exact", "part").agg(F.sum("enclosed").alias("n")).groupBy("exact").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.max("n").alias("top"))
+    strewn = spread.where((F.col("nn") + 2 * BEFOREHAND * F.col("top") + BEFOREHAND**2) / F.pow(F.col("n") + BEFOREHAND, F.lit(2)) < STREWN).select("exact")
+    own = counted.groupBy("host", "exact").agg(F.sum("closing").alias("closing"), F.sum("opening").alias("opening"), F.max("loss1").alias("loss1"), F.max("loss2").alias("loss2"))
+    headings = counted.where("part = exact").select("exact").distinct()
+    own = own.join(headings, "exact", "left_anti")
+    wins = [_shared(own, sizes, "exact", c, ["loss1", "loss2"]).select("host", F.lit(c).alias("kind"), F.explode(F.array("path", "loss1", "loss2")).alias("path")) for c in ("closing", "opening")]
+    wins.append(own.join(strewn, "exact").select("host", F.lit("strewn").alias("kind"), F.explode(F.array("exact", "loss1", "loss2")).alias("path")))
+    wider = counted.where("part <> exact").groupBy("host", "two", "two1", "two2").agg(*[F.sum(c).alias(c) for c in ("closing_two", "titles", "enclosed")])
+    titled = wider.groupBy("two").agg(F.sum("titles").alias("titles"), F.sum("enclosed").alias("enclosed")).where((F.col("titles") > 0) & (F.col("titles") * TITLED >= F.col("enclosed")))
+    wins.append(wider.join(titled.select("two"), "two").select("host", F.lit("titled").alias("kind"), F.explode(F.array("two", "two1", "two2")).alias("path")))
+    plain = wider.groupBy("host", "two").agg(F.sum("closing_two").alias("closing_two"), F.max("two1").alias("two1"), F.max("two2").alias("two2")).join(titled.select("two"), "two", "left_anti")
+    wins.append(_shared(plain, sizes, "two", "closing_two", ["two1", "two2"]).select("host", F.lit("closing_two").alias("kind"), F.explode(F.array("path", "two1", "two2")).alias("path")))
+    won = wins[0]
+    for w in wins[1:]:
+        won = won.unionByName(w)
+    sets = [F.collect_set(F.when(F.col("kind") == k, F.col("path"))).alias(k) for k in ("closing", "opening", "strewn", "closing_two", "titled")]
+    return won.where("path <> 0").groupBy("host").agg(*sets)
+
+
+def _shared(votes: DataFrame, sizes: DataFrame, path: str, count: str, more: list[str]) -> DataFrame:
+    """host and path where the path's pages make up SHARE of the host's, with PRIOR pages of the share that it has on all hosts that use it.
+
+    Where it has that share on all these hosts together, half of it will do on one.
+    """
+    v = votes.where(F.col(count) > 0).join(sizes, "host")
+    pooled = v.groupBy(path).agg((F.sum(count) / (F.sum("pages") + WITHOUT)).alias("pooled"))
+    share = (F.col(count) + PRIOR * F.col("pooled")) / (F.col("pages") + PRIOR)
+    return v.join(pooled, path).where((share >= SHARE) | (F.col("pooled") >= SHARE) & (F.col(count) / F.col("pages") >= SHARE / 2)).select("host", F.col(path).alias("path"), *more)
 
 
-def page_lines(source_documents: DataFrame, with_line: bool = True) -> DataFrame:
-    """Each non-blank line of html documents: src_doc_id, line_no, line, body.
+def extracted(paths: DataFrame, winners: DataFrame) -> DataFrame:
+    """src_doc_id, text and out, the numbers of the lines that aren't part of the body.
 
-    A page without a number line has no title to go by, so its lines are all judged by class. Null, empty and blank
-    texts have no lines. Each line comes once, whatever the repeated rows; a repeated page votes once more. Without
-    with_line the lines' texts, which only bodies needs, are left out.
+    A host's pages meet its winning paths in SALTS parts. Of rows with one src_doc_id the one with the smallest out counts.
     """
-    texts = source_documents.where("text IS NOT NULL").select("src_doc_id", "text", "kind")
-    line = ["line"] if with_line else []
-    # several joins read the pages' lines, so they are cut once; the other documents' only vote
-    pages = materialise(_zoned(texts.where("kind = 'html'")).select("src_doc_id", "line_no", *line, "zone", "key"), "page-lines")
-    others = _zoned(texts.where("kind IS NULL OR kind NOT IN ('html', 'image')"))
-    none, zone = F.lit(0).cast("bigint"), F.col("zone")
-    votes = others.groupBy("key").agg(F.count_if(zone == "after").alias("body_n"), none.alias("before_n"), none.alias("after_n"), F.count_if(zone == "title").alias("title_n"))
-    own = pages.groupBy("key").agg(none.alias("body_n"), F.count_if(zone == "before").alias("before_n"), F.count_if(zone == "after").alias("after_n"), F.count_if(zone == "title").alias("title_n"))
-    votes = votes.unionByName(own).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("body_n", "before_n", "after_n", "title_n")])
-    pages = pages.join(_judge(votes), "key", "left")
-    body = F.when(zone.isin("title", "number"), True).when(zone == "before", False).otherwise(F.coalesce("is_body", F.lit(True)))
-    return pages.select("src_doc_id", "line_no", *line, body.alias("body"))
-
-
-def _zoned(docs: DataFrame) -> DataFrame:
-    """src_doc_id, line_no, line, key and zone (before, title, number or after) of each non-blank line."""
-    docs = _titled(with_repair(docs.select("src_doc_id", "text")).select("src_doc_id", F.col("repair.fixed").alias("text")))
-    rows = docs.select("src_doc_id", "number", "title", F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(r"(?U)\S"))
-    zone = (
-        F.when(F.col("line_no") == F.col("title"), "title").when(F.col("line_no") == F.col("number"), "number")
-        .when(F.col("line_no") < F.col("title"), "before").otherwise("after")
+    kinds = [c for c in winners.columns if c != "host"]
+    some = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = paths.withColumn("salt", F.pmod(F.xxhash64("src_doc_id"), F.lit(SALTS)).cast("int")).join(some, ["host", "salt"], "left")
+    rows = rows.select("src_doc_id", "text", F.arrays_zip("no", "exact", "two", "bits").alias("lines"), *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in kinds])
+    bit = lambda x, b: x["bits"].bitwiseAND(F.lit(b).cast("tinyint")) != 0
+    closes = lambda x: bit(x, CLOSING) & (F.array_contains("closing", x["exact"]) | F.array_contains("closing_two", x["two"]))
+    rows = rows.withColumn("titles", F.exists("lines", lambda x: bit(x, TITLE)))
+    rows = rows.withColumn("end", F.get(F.filter("lines", closes), F.lit(0))["no"])
+    goes = lambda x: (
+        bit(x, BEFORE) | (x["no"] >= F.col("end")) | ~bit(x, TITLE) & (x["bits"] != 0) & (F.array_contains("strewn", x["exact"]) | F.array_contains("titled", x["two"]))
+        | ~F.col("titles") & F.array_contains("opening", x["exact"])
     )
-    return rows.select("src_doc_id", "line_no", "line", masked(F.col("line")).alias("key"), zone.alias("zone"))
-
-
-def _judge(votes: DataFrame) -> DataFrame:
-    """key and is_body for each distinct line; votes has one row a key."""
-    lost = F.col("key").contains("�")
-    keyed = materialise(votes.withColumn("c", F.pandas_udf(_classes, _CLASSES)("key")).select("*", "c.exact", "c.two", "c.one").drop("c"), "page-classes")
-    known = keyed.where(~lost)
-    sums = lambda p: [F.sum("body_n").alias(f"{p}_body"), F.sum(F.col("before_n") + F.col("after_n")).alias(f"{p}_page"), F.sum("before_n").alias(f"{p}_before"), F.sum("title_n").alias(f"{p}_title")]
-    exact, two, one = (known.groupBy(k).agg(*sums(k)) for k in ("exact", "two", "one"))
-    joined = known.join(exact, "exact").join(two, "two").join(one, "one")
-    titled = (F.col("exact_title") > 0) | (F.col("two_title") > F.col("two_body"))
-    is_body = (
-        F.when(titled, False)
-        .when((F.col("exact_body") > 0) & (F.col("exact_body") * 20 >= F.col("exact_page")), F.col("exact_body") >= F.col("exact_before"))
-        .when((F.col("two_body") > 0) & (F.col("two_body") * 4 >= F.col("two_page")), True)
-        .when(F.col("exact_page") >= VOTES, False)
-        .when(F.col("two_body") > 0, F.col("two_body") * 20 >= F.col("two_page"))
-        .otherwise((F.col("one_body") > 0) & (F.col("one_body") * 4 >= F.col("one_page")))
-    )
-    judged = joined.select("key", is_body.alias("is_body"))
-    loss = F.explode(F.pandas_udf(_losses, T.ArrayType(T.StringType()))("key"))
-    broken = judged.select(loss.alias("key"), "is_body").where(F.col("key").contains("�")).groupBy("key").agg(F.max("is_body").alias("is_body"))
-    # titles of other notices that lost their letters keep their year
-    rest = keyed.where(lost).select("key").join(broken, "key", "left").withColumn("is_body", F.coalesce("is_body", ~F.col("key").rlike(r"^(?:\W{0,12}\s)?0\W") & F.col("key").rlike("0|- ")))
-    return judged.unionByName(rest)
-
-
-def surroundings(lines: DataFrame) -> DataFrame:
+    out = F.transform(F.filter("lines", lambda x: F.coalesce(goes(x), F.lit(False))), lambda x: x["no"])
+    return rows.select("src_doc_id", "text", out.alias("out")).groupBy("src_doc_id").agg(F.min(F.struct("out", "text")).alias("r")).select("src_doc_id", "r.text", "r.out")
+
+
+def split_pages(source_documents: DataFrame, with_text: bool = False) -> DataFrame:
+    """src_doc_id, text (null without with_text) and out of every html document, see extracted.
+
+    Null, empty and blank texts are left out; empty tables give an empty result; columns other than src_doc_id, url,
+    kind, title and text aren't read. The paths are read twice, so they are written once.
+    """
+    paths = materialise(page_paths(source_documents, with_text), "page-paths")
+    return extracted(paths, winning_paths(paths))
+
+
+def surroundings(pages: DataFrame) -> DataFrame:
     """src_doc_id and line_no of lines that aren't part of the body."""
-    return lines.where(~F.col("body")).select("src_doc_id", "line_no").distinct()
+    return pages.select("src_doc_id", F.explode("out").alias("line_no"))
 
 
-def bodies(lines: DataFrame) -> DataFrame:
-    """src_doc_id and text: the body of each page, lines in order; a page without body lines has none."""
-    kept = lines.where("body").groupBy("src_doc_id").agg(F.array_sort(F.collect_set(F.struct("line_no", "line"))).alias("x"))
-    return kept.select("src_doc_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n").alias("text"))
+def bodies(pages: DataFrame) -> DataFrame:
+    """src_doc_id and text: the body of each page, lines in order, blank ones left out; pages have their text."""
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: line.rlike(r"(?U)\S") & ~F.array_contains("out", i))
+    return pages.where(F.size(kept) > 0).select("src_doc_id", F.array_join(kept, "\n").alias("text"))

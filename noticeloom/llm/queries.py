@@ -20,12 +20,12 @@ def p1_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return pages.surroundings(pages.page_lines(table(spark, root, "source_documents"), with_line=False))
+    return pages.surroundings(pages.split_pages(table(spark, root, "source_documents")))
 
 
 def p3_bodies(spark: SparkSession, root: str) -> DataFrame:
     """The body of each html document."""
-    return pages.bodies(pages.page_lines(table(spark, root, "source_documents")))
+    return pages.bodies(pages.split_pages(table(spark, root, "source_documents"), with_text=True))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

@@ -65,18 +65,41 @@ def test_lookalike_quotes(spark):
     assert canonical.lookalike_quotes(ev.limit(0), docs).collect() == []
 
 
-def page(number, head, tail):
-    return "\n".join([*head, f"2024년 서울 게임 사업 모집 공고 {number}", f"해오름창업진흥원 공고 제2024-{1000 + number}호", "", "1. 사업 개요", f"지원규모: {number}개사 내외", "모바일 앱 내려받기", "신청서는 온라인으로 제출합니다.", *tail])
+def page(number, head, tail, banner="[배너] 상담 바로가기"):
+    parts = [f"{k}. {x}" for k, x in enumerate(("사업 개요", "신청 자격", "제출 서류", "접수 방법", "심사 기준", "유의 사항"), 1)]
+    lines = [*head, f"2024년 서울 게임 사업 모집 공고 {number}", f"해오름창업진흥원 공고 제2024-{1000 + number}호", ""]
+    for k, part in enumerate(parts):
+        lines += [part, f"{part[3:]}의 규모: {number}개사 내외", f"{part[3:]}에 관한 문장은 다른 공고와 같습니다."]
+        lines += [banner, "2025년 부산 물류 사업 참가자 모집"] * (k == number % 6)
+    return "\n".join([*lines, *tail])
 
 
 def test_pages(spark):
-    rows = [(i, "html", page(i, ["메뉴", "로그인"], ["목록보기", f"오늘 방문 {i}"]), "x") for i in range(1, 9)]
-    rows += [(100 + i, "hwp", f"2024년 서울 게임 사업 모집 공고 {i}\n공고 제2024-{i}호\n1. 사업 개요\n지원규모: {i}개사 내외\n신청서는 온라인으로 제출합니다.", "x") for i in range(3)] + [(200, "html", None, "x"), (201, "html", "", "x"), rows[0]]
-    df = spark.createDataFrame(rows, "src_doc_id bigint, kind string, text string, line string")
-    out = sorted(map(tuple, pages.surroundings(pages.page_lines(df)).collect()))
-    assert [n for d, n in out if d == 1] == [0, 1, 7, 9, 10]
-    assert pages.bodies(pages.page_lines(df)).where("src_doc_id = 1").first()["text"].split("\n")[-1] == "신청서는 온라인으로 제출합니다."
-    assert pages.surroundings(pages.page_lines(df.limit(0))).collect() == []
+    """Only html documents: two hosts, of which one has the other's closing line in its bodies."""
+    schema = "src_doc_id bigint, url string, kind string, title string, text string, line string"
+    rows = [(i, f"https://a.example/{i}", "html", None, page(i, ["메뉴", "로그인"], ["목록보기", f"오늘 방문 {i}"]), "x") for i in range(1, 41)]
+    rows += [(100 + i, f"https://b.example/{i}", "html", None, page(i, ["처음으로"], ["목록보기는 따로 있습니다."] * (i % 3 == 0) + ["인쇄", f"주소 {i}"]), "x") for i in range(1, 41)]
+    rows += [(300, "https://a.example/300", "html", None, None, "x"), (301, None, "html", None, "", "x"), (302, "https://a.example/302", "hwp", None, "메뉴", "x"), rows[0]]
+    df = spark.createDataFrame(rows, schema)
+    out = {}
+    for d, n in map(tuple, pages.surroundings(pages.split_pages(df)).collect()):
+        out.setdefault(d, []).append(n)
+    whole = {r[0]: r[4].split("\n") for r in rows if r[4]}
+    for d, lines in whole.items():
+        if d < 300:
+            want = [i for i, x in enumerate(lines) if x.startswith(("메뉴", "로그인", "처음으로", "[배너]", "2025년")) or x in ("목록보기", "인쇄") or x.startswith(("오늘 방문", "주소"))]
+            assert sorted(out[d]) == want, d
+    assert set(out) == {d for d in whole if d < 300}
+    got = pages.bodies(pages.split_pages(df, with_text=True)).where("src_doc_id = 1").first()["text"].split("\n")
+    assert got[0] == "2024년 서울 게임 사업 모집 공고 1" and got[-1] == "유의 사항에 관한 문장은 다른 공고와 같습니다."
+    assert pages.surroundings(pages.split_pages(df.limit(0))).collect() == []
+
+
+def test_pages_without_number_line():
+    cut = pages.cut_page("메뉴\n2024년 사업 공고\n1. 개요\n본문\n2. 끝\n인쇄", "2024년　사업 공고")
+    assert cut[0] == [0, 1, 2, 3, 4, 5]
+    assert [b & 15 for b in cut[-1]] == [pages.BEFORE, pages.TITLE, pages.ENCLOSED, pages.ENCLOSED, pages.ENCLOSED, pages.CLOSING]
+    assert [b & 15 for b in pages.cut_page("메뉴\n1. 개요\n본문\n2. 끝\n인쇄", None)[-1]] == [pages.ENCLOSED] * 4 + [pages.CLOSING]
 
 
 def test_pii():
