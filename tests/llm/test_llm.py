@@ -69,7 +69,7 @@ def page(number, head, tail, banner="[배너] 상담 바로가기"):
     parts = [f"{k}. {x}" for k, x in enumerate(("사업 개요", "신청 자격", "제출 서류", "접수 방법", "심사 기준", "유의 사항"), 1)]
     lines = [*head, f"2024년 서울 게임 사업 모집 공고 {number}", f"해오름창업진흥원 공고 제2024-{1000 + number}호", ""]
     for k, part in enumerate(parts):
-        lines += [part, f"{part[3:]}의 규모: {number}개사 내외", f"{part[3:]}에 관한 문장은 다른 공고와 같습니다."]
+        lines += [part, *[f"{x} {part[3:]}: {number}개사 내외" for x in ("첫째", "둘째", "셋째")[number % 3 :][:1]], f"{'홀짝'[number % 2]} {part[3:]}에 관한 문장은 다른 공고와 같습니다."]
         lines += [banner, "2025년 부산 물류 사업 참가자 모집"] * (k == number % 6)
     return "\n".join([*lines, *tail])
 
@@ -91,7 +91,7 @@ def test_pages(spark):
             assert sorted(out[d]) == want, d
     assert set(out) == {d for d in whole if d < 300}
     got = pages.bodies(pages.split_pages(df, with_text=True)).where("src_doc_id = 1").first()["text"].split("\n")
-    assert got[0] == "2024년 서울 게임 사업 모집 공고 1" and got[-1] == "유의 사항에 관한 문장은 다른 공고와 같습니다."
+    assert got[0] == "2024년 서울 게임 사업 모집 공고 1" and got[-1] == "짝 유의 사항에 관한 문장은 다른 공고와 같습니다."
     assert pages.surroundings(pages.split_pages(df.limit(0))).collect() == []
 
 
