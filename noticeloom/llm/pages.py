@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from noticeloom.llm.canonical import canonical
-from noticeloom.llm.mojibake import repair_text
+from noticeloom.llm.mojibake import _utf8_as_euc, repair_text
 from noticeloom.session import materialise
 
 #: The line of the notice number, which follows the title; the second form is one that lost its letters.
@@ -66,8 +66,13 @@ def line_class(line: str) -> tuple[str, str]:
 
 
 def _lossy(line: str) -> list[str]:
-    """What the line would be after the two lossy mistakes: cp949 read as UTF-8 and UTF-8 read as cp949."""
-    return [line.encode("cp949", "ignore").decode("utf-8", "replace"), line.encode().decode("cp949", "replace")]
+    """What is left of the line after the two lossy mistakes, cp949 read as UTF-8 and UTF-8 read as cp949; of the latter, repair puts spans back."""
+    return [line.encode("cp949", "ignore").decode("utf-8", "replace"), _utf8_as_euc(line.encode().decode("cp949", "replace"))]
+
+
+def _lost_paths(masked: str) -> tuple[int, int]:
+    """Hashes of the paths of a masked line that lost signs: itself and its first two words."""
+    return _hash(masked), _hash(" ".join(_BULLET.sub("", masked).split()[:2]))
 
 
 def _hash(text: str) -> int:
@@ -78,13 +83,11 @@ def _hash(text: str) -> int:
 @lru_cache(maxsize=200_000)
 def _paths(masked: str) -> tuple[int, ...]:
     """Hashes of a line's two paths and of what they would be after each loss, 0 where the line would lose nothing."""
-    exact, two = line_class(masked)
     if "�" in masked:
-        return _hash(masked), _hash(two), 0, 0, 0, 0
-    out = [_hash(exact), _hash(two)]
-    for lossy in _lossy(masked):
-        left = _DIGITS.sub("0", repair_text(lossy)[0].strip())
-        out += [_hash(left), _hash(line_class(left)[1])] if "�" in left else [0, 0]
+        return *_lost_paths(masked), 0, 0, 0, 0
+    out = [_hash(x) for x in line_class(masked)]
+    for left in _lossy(masked):
+        out += _lost_paths(_DIGITS.sub("0", left.strip())) if "�" in left else (0, 0)
     return tuple(out)
 
 
@@ -92,8 +95,8 @@ _NAMES = ("no", "exact", "two", "loss1", "two1", "loss2", "two2", "part", "bits"
 _TYPES = (pa.int32(), *[pa.int64()] * 7, pa.int8())
 _ARROW = pa.schema([("src_doc_id", pa.int64()), ("host", pa.string()), ("text", pa.string()), *[(n, pa.list_(t)) for n, t in zip(_NAMES, _TYPES, strict=True)]])
 _SCHEMA = "src_doc_id bigint, host string, text string, no array<int>, " + ", ".join(f"{n} array<bigint>" for n in _NAMES[1:-1]) + ", bits array<tinyint>"
-#: Where a line stands, as bits, and whether it is the first of its paths there on its page.
-BEFORE, TITLE, ENCLOSED, CLOSING, FIRST, FIRST_TWO = 1, 2, 4, 8, 16, 32
+#: Where a line stands, as bits, whether it is the first of its paths there on its page, and whether it lost signs.
+BEFORE, TITLE, ENCLOSED, CLOSING, FIRST, FIRST_TWO, LOST = 1, 2, 4, 8, 16, 32, 64
 
 
 def _squeezed(text: str) -> str:
@@ -113,7 +116,8 @@ def cut_page(text: str, title: str | None) -> tuple[list[int], ...]:
     if number < 0 and title and title.strip():
         want = _squeezed(title)
         number = at = next((i for i in full if _squeezed(lines[i]) == want), -1)
-    last = max((i for i in full if i > number and HEADING.match(lines[i])), default=number)
+    heads = {i for i in full if i > number and HEADING.match(lines[i])}
+    last = max(heads, default=number)
     out: tuple[list[int], ...] = tuple([] for _ in _NAMES)
     seen: set[tuple[int, int]] = set()
     container = 0
@@ -130,7 +134,8 @@ def cut_page(text: str, title: str | None) -> tuple[list[int], ...]:
         if bits in (BEFORE, CLOSING):
             bits |= FIRST * ((bits, exact) not in seen) | FIRST_TWO * ((bits, two) not in seen)
             seen |= {(bits & 15, exact), (bits & 15, two)}
-        if i > number and HEADING.match(lines[i]):
+        bits |= LOST * ("�" in lines[i])
+        if i in heads:
             container = exact
         for column, x in zip(out, (i, exact, two, *losses, -1 if bits & BEFORE else container, bits), strict=True):
             column.append(x)
@@ -161,8 +166,11 @@ def _has(bits: int) -> Column:
     return F.col("bits").bitwiseAND(F.lit(bits)) == bits
 
 
+_KINDS = ("closing", "opening", "strewn", "closing_two", "titled", "lost_closing", "lost_out")
+
+
 def winning_paths(paths: DataFrame) -> DataFrame:
-    """One row a host: arrays of its closing, opening and strewn paths (losses with them) and of its titles' beginnings.
+    """One row a host: arrays of its closing, opening and strewn paths, of its titles' beginnings and of what these lost.
 
     Votes are counted by host, path and container first, so a host or line of any size is partly summed where it is
     read. What a host wins is bounded by the lines of its pages: a path of the share SHARE is on most of them.
@@ -180,18 +188,24 @@ def winning_paths(paths: DataFrame) -> DataFrame:
     own = counted.groupBy("host", "exact").agg(F.sum("closing").alias("closing"), F.sum("opening").alias("opening"), F.max("loss1").alias("loss1"), F.max("loss2").alias("loss2"))
     headings = counted.where("part = exact").select("exact").distinct()
     own = own.join(headings, "exact", "left_anti")
-    wins = [_shared(own, sizes, "exact", c, ["loss1", "loss2"]).select("host", F.lit(c).alias("kind"), F.explode(F.array("path", "loss1", "loss2")).alias("path")) for c in ("closing", "opening")]
-    wins.append(own.join(strewn, "exact").select("host", F.lit("strewn").alias("kind"), F.explode(F.array("exact", "loss1", "loss2")).alias("path")))
-    wider = counted.where("part <> exact").groupBy("host", "two", "two1", "two2").agg(*[F.sum(c).alias(c) for c in ("closing_two", "titles", "enclosed")])
+    own_losses, wider_losses = ["loss1", "loss2"], ["two1", "two2"]
+    wins = [
+        ("closing", "lost_closing", _shared(own, sizes, "exact", "closing", own_losses)),
+        ("opening", "lost_out", _shared(own, sizes, "exact", "opening", own_losses)),
+        ("strewn", "lost_out", own.join(strewn, "exact").withColumnRenamed("exact", "path")),
+    ]
+    wider = counted.where("part <> exact").groupBy("host", "two", *wider_losses).agg(*[F.sum(c).alias(c) for c in ("closing_two", "titles", "enclosed")])
     titled = wider.groupBy("two").agg(F.sum("titles").alias("titles"), F.sum("enclosed").alias("enclosed")).where((F.col("titles") > 0) & (F.col("titles") * TITLED >= F.col("enclosed")))
-    wins.append(wider.join(titled.select("two"), "two").select("host", F.lit("titled").alias("kind"), F.explode(F.array("two", "two1", "two2")).alias("path")))
-    plain = wider.groupBy("host", "two").agg(F.sum("closing_two").alias("closing_two"), F.max("two1").alias("two1"), F.max("two2").alias("two2")).join(titled.select("two"), "two", "left_anti")
-    wins.append(_shared(plain, sizes, "two", "closing_two", ["two1", "two2"]).select("host", F.lit("closing_two").alias("kind"), F.explode(F.array("path", "two1", "two2")).alias("path")))
-    won = wins[0]
-    for w in wins[1:]:
-        won = won.unionByName(w)
-    sets = [F.collect_set(F.when(F.col("kind") == k, F.col("path"))).alias(k) for k in ("closing", "opening", "strewn", "closing_two", "titled")]
-    return won.where("path <> 0").groupBy("host").agg(*sets)
+    wins.append(("titled", "lost_out", wider.join(titled.select("two"), "two").withColumnRenamed("two", "path")))
+    plain = wider.groupBy("host", "two").agg(F.sum("closing_two").alias("closing_two"), *[F.max(c).alias(c) for c in wider_losses]).join(titled.select("two"), "two", "left_anti")
+    wins.append(("closing_two", "lost_closing", _shared(plain, sizes, "two", "closing_two", wider_losses)))
+    won = None
+    for kind, lost, w in wins:
+        a, b = wider_losses if "two1" in w.columns else own_losses
+        pair = lambda k, c: F.struct(F.lit(k).alias("kind"), F.col(c).alias("path"))
+        rows = w.select("host", F.explode(F.array(pair(kind, "path"), pair(lost, a), pair(lost, b))).alias("x")).select("host", "x.*")
+        won = rows if won is None else won.unionByName(rows)
+    return won.where("path <> 0").groupBy("host").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("path"))).alias(k) for k in _KINDS])
 
 
 def _shared(votes: DataFrame, sizes: DataFrame, path: str, count: str, more: list[str]) -> DataFrame:
@@ -210,19 +224,17 @@ def extracted(paths: DataFrame, winners: DataFrame) -> DataFrame:
 
     A host's pages meet its winning paths in SALTS parts. Of rows with one src_doc_id the one with the smallest out counts.
     """
-    kinds = [c for c in winners.columns if c != "host"]
     some = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = paths.withColumn("salt", F.pmod(F.xxhash64("src_doc_id"), F.lit(SALTS)).cast("int")).join(some, ["host", "salt"], "left")
-    rows = rows.select("src_doc_id", "text", F.arrays_zip("no", "exact", "two", "bits").alias("lines"), *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in kinds])
+    rows = rows.select("src_doc_id", "text", F.arrays_zip("no", "exact", "two", "bits").alias("lines"), *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in _KINDS])
     bit = lambda x, b: x["bits"].bitwiseAND(F.lit(b).cast("tinyint")) != 0
-    closes = lambda x: bit(x, CLOSING) & (F.array_contains("closing", x["exact"]) | F.array_contains("closing_two", x["two"]))
+    either = lambda c, x: F.array_contains(c, x["exact"]) | F.array_contains(c, x["two"])
+    closes = lambda x: bit(x, CLOSING) & F.when(bit(x, LOST), either("lost_closing", x)).otherwise(F.array_contains("closing", x["exact"]) | F.array_contains("closing_two", x["two"]))
     rows = rows.withColumn("titles", F.exists("lines", lambda x: bit(x, TITLE)))
-    rows = rows.withColumn("end", F.get(F.filter("lines", closes), F.lit(0))["no"])
-    goes = lambda x: (
-        bit(x, BEFORE) | (x["no"] >= F.col("end")) | ~bit(x, TITLE) & (x["bits"] != 0) & (F.array_contains("strewn", x["exact"]) | F.array_contains("titled", x["two"]))
-        | ~F.col("titles") & F.array_contains("opening", x["exact"])
-    )
-    out = F.transform(F.filter("lines", lambda x: F.coalesce(goes(x), F.lit(False))), lambda x: x["no"])
+    rows = rows.withColumn("end", F.coalesce(F.get(F.filter("lines", closes), F.lit(0))["no"], F.lit(2_147_483_647)))
+    strewn = lambda x: F.array_contains("strewn", x["exact"]) | F.array_contains("titled", x["two"]) | ~F.col("titles") & F.array_contains("opening", x["exact"])
+    goes = lambda x: bit(x, BEFORE) | (x["no"] >= F.col("end")) | bit(x, ENCLOSED | CLOSING) & F.when(bit(x, LOST), either("lost_out", x)).otherwise(strewn(x))
+    out = F.transform(F.filter("lines", goes), lambda x: x["no"])
     return rows.select("src_doc_id", "text", out.alias("out")).groupBy("src_doc_id").agg(F.min(F.struct("out", "text")).alias("r")).select("src_doc_id", "r.text", "r.out")
 
 
