@@ -17,6 +17,8 @@ from noticeloom.llm.tokens import TOKENIZER_DIR, VOCABULARY, token_counts
 from noticeloom.session import materialise
 
 #: Texts a bucket of the seeded order holds about.
+#: Sets of sources that texts may be in; their sums go to the driver.
+MAX_PATTERNS = 100_000
 PER_BUCKET = 50_000
 
 
@@ -123,24 +125,30 @@ def _plan(capacity: dict, targets: dict, shares: dict) -> tuple[float, dict]:
 def counted_texts(documents: DataFrame, name: str = VOCABULARY, directory: str = TOKENIZER_DIR) -> DataFrame:
     """doc_id, source, text_id and n_tokens of each document with tokens; text_id is equal for equal texts.
 
-    Null and empty texts and documents without source have no part; a repeated doc_id counts once.
+    Null and empty texts and documents without source have no part; a repeated doc_id counts once, of differing rows the smallest text.
     """
-    docs = documents.where("text <> '' AND source IS NOT NULL").select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+    docs = documents.where("text <> '' AND source IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("d"))
+    docs = docs.select("doc_id", "d.source", "d.text")
     return token_counts(docs.withColumn("text_id", F.unhex(F.sha2("text", 256))), name=name, directory=directory).drop("text")
 
 
-def mixed(documents: DataFrame, mix_targets: DataFrame, seed: int = 17, name: str = VOCABULARY, directory: str = TOKENIZER_DIR) -> DataFrame:
+def mixed(documents: DataFrame, mix_targets: DataFrame, seed: int = 17, name: str = VOCABULARY, directory: str = TOKENIZER_DIR, merge_copies: bool = True) -> DataFrame:
     """doc_id, source, n_tokens and repeats: how often each chosen record is used, by the source that it counts for.
 
     Of equal texts in one source the smallest doc_id stands for all; a text is used at most max_repeats times for each
-    source and the largest max_repeats of its sources altogether. mix_targets has a row a source (a fixed small table).
+    source and the largest max_repeats of its sources altogether. With merge_copies False each record stands for itself.
+    mix_targets has a row a source (a fixed small table); sets of sources over MAX_PATTERNS are refused.
     """
     goals = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in mix_targets.dropDuplicates(["source"]).where("target_share IS NOT NULL AND max_repeats > 0").collect()}
     rows = materialise(counted_texts(documents, name, directory).where(F.col("source").isin(list(goals))), "mix-tokens")
+    if not merge_copies:
+        rows = rows.withColumn("text_id", F.unhex(F.sha2(F.concat(F.hex("text_id"), F.col("doc_id").cast("string")), 256)))
     records = rows.groupBy("text_id", "source").agg(F.min("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"))
     texts = records.groupBy("text_id").agg(F.array_sort(F.collect_set("source")).alias("pattern"), F.max("n_tokens").alias("n_tokens"), F.map_from_entries(F.collect_list(F.struct("source", "doc_id"))).alias("docs"))
     texts = materialise(texts.withColumn("order", F.xxhash64("text_id", F.lit(seed))), "mix-texts")
-    sums = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()  # at most a row a set of sources
+    sums = texts.groupBy("pattern").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()  # a row a set of sources
+    if len(sums) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} sets of sources hold texts")
     total, sent = plan_flow({tuple(r["pattern"]): float(r["tokens"]) for r in sums}, goals)
     buckets = max(16, sum(r["n"] for r in sums) // PER_BUCKET)
     placed = _placed(texts, int(buckets))
@@ -154,6 +162,9 @@ def mixed(documents: DataFrame, mix_targets: DataFrame, seed: int = 17, name: st
     plan = documents.sparkSession.createDataFrame(stretches, "pattern array<string>, source string, start double, stop double, round double")
     laps = lambda x: F.ceil((F.col(x) - F.col("at")) / F.col("round"))
     used = placed.join(plan, "pattern").withColumn("repeats", (F.greatest(laps("stop"), F.lit(0)) - F.greatest(laps("start"), F.lit(0))).cast("int"))
+    if goals:
+        caps = F.create_map(*[F.lit(x) for s, (_, n) in goals.items() for x in (s, n)])
+        used = used.withColumn("repeats", F.least("repeats", F.element_at(caps, F.col("source"))))
     return used.where("repeats > 0").select(F.element_at("docs", F.col("source")).alias("doc_id"), "source", "n_tokens", "repeats")
 
 

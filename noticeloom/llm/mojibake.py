@@ -245,16 +245,19 @@ def with_repair(df: DataFrame, text: str = "text", out: str = "repair") -> DataF
     return asked.withColumn(out, F.when(suspect, F.col("_asked")).otherwise(plain)).drop("_asked")
 
 
-def repaired_records(source_documents: DataFrame, preset_documents: DataFrame) -> DataFrame:
+def repaired_records(source_documents: DataFrame, preset_documents: DataFrame, garbled: bool = False) -> DataFrame:
     """Both tables' texts repaired: tbl, row_id, text, fixed, pairs, garbled_lines, lost_lines, each key once.
 
-    Where a key has rows with different texts, the smallest text is taken, so that the result doesn't depend on order.
+    Where a key has rows with different texts, the smallest text counts. garbled: only the records with garbled text, so
+    that no other text is shuffled. Null texts are left out.
     """
     src = source_documents.select(F.lit("source_documents").alias("tbl"), F.col("src_doc_id").alias("row_id"), "text")
     pre = preset_documents.select(F.lit("preset_documents").alias("tbl"), F.col("preset_id").alias("row_id"), "text")
-    # presets repeat as whole rows; the source documents' key is unique, but a repeated row mustn't count twice either
-    rows = with_repair(src.unionByName(pre)).where("text IS NOT NULL")
-    return rows.select("tbl", "row_id", "text", "repair.*").dropDuplicates(["tbl", "row_id"])
+    rows = with_repair(src.unionByName(pre).where("text IS NOT NULL")).select("tbl", "row_id", "text", "repair.*")
+    if garbled:
+        rows = rows.where("garbled_lines > 0")
+    own = ["text", "fixed", "pairs", "garbled_lines", "lost_lines"]
+    return rows.groupBy("tbl", "row_id").agg(F.min(F.struct(*own)).alias("r")).select("tbl", "row_id", *[f"r.{c}" for c in own])
 
 
 def garbled_records(source_documents: DataFrame, preset_documents: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -24,6 +25,7 @@ SURNAMES = "김이박최정강조윤장임한오서신권황안송류유홍전
 LONG_SURNAMES = "남궁 제갈 선우 독고 황보 사공 서문 동방".split()
 TITLES = "부장 과장 차장 대리 책임 선임 팀장 실장 국장 센터장 본부장 원장 이사 대표 사장 매니저 사무관 서기관 연구원 주무관 주임 사원 담당관 간사 교수 박사 위원 위원장 변호사 회계사 컨설턴트 멘토 강사 님 씨".split()
 #: Words that a person's name stands after.
+ID_CUES = ("주민등록번호", "주민번호", "외국인등록번호", "등록번호")
 CUES = "담당자 대표자 신청자 수혜자 작성자 책임자 성명 이름 대표 심사위원 문의처 연락처 강사 멘토".split()
 
 _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {c: 0x20 for c in (0xA0, 0x2007, 0x2009, 0x202F, 0x3000, 0x2002, 0x2003, 0x2005, 0x2006, 0x2008, 0x200A, 0x205F)} | {c: 0x2D for c in (0x2010, 0x2011, 0x2012, 0x2013, 0x2212)}
@@ -58,6 +60,8 @@ ENTRY = regex.compile(r"(?:\([^()\n]*\)|[^,、·;/()])+")
 LISTED = regex.compile(rf"\s*(?:\d+[.)]\s*)?(?P<name>{_NAME})(?:\s*(?:{_TITLE}))?(?:\s*\([^()]*\))?(?:\s*(?:외|등)(?:\s*\d+\s*[명인])?)?[\s.]*")
 AFTER_TITLE = regex.compile(rf"(?:{_TITLE})\s(?P<name>{_NAME})(?=에게|께|님|이|가|은|는|,|\s|\()")
 TABLE = regex.compile(rf"\s*\d+\s\|\s[^|\n]+\s\|\s(?P<name>{_NAME})\s\|\s")
+#: A name in Latin letters after a cue.
+LATIN_AFTER_CUE = regex.compile(rf"(?:{'|'.join(CUES)})(?:인)?\s*[:：]?\s*(?P<name>\p{{Lu}}\p{{Ll}}[\p{{L}}'-]*(?:\s\p{{Lu}}[\p{{L}}'.-]*){{1,2}})(?=\s*(?:[,(/|]|$|\n))")
 WESTERN_NAME = regex.compile(r"Contact(?: person)?:\s(?P<name>\p{Lu}[\p{L}'-]+(?:\s\p{Lu}[\p{L}'.-]*){1,2})(?=,|\s\(|$|\n)")
 
 
@@ -71,7 +75,10 @@ def anchors():
         "email": ["@", "[at]", "(at)"],
         "phone": ["+", "(0", "010", "011", "016", "017", "018", "019", "02", "070", "080", "050", *(f"0{i}" for i in range(31, 70)), *(f"1{i}" for i in range(5, 10))],
         "name": [*CUES, "명단", "Contact", *(f" {t}" for t in TITLES), " | "],
-        "address": ["로 ", "길 ", "번지", "-ro,", "-daero,", "-gil,", *(f"로{i}" for i in range(10)), *(f"길{i}" for i in range(10))],
+        "address": ["로 ", "길 ", "번지", *(f"로{i}" for i in range(10)), *(f"길{i}" for i in range(10))],
+        "western": [f"-{x}{after}" for x in ("ro", "daero", "gil", "dong") for after in (",", " ")],
+        # a calendar day or a blank, a hyphen and a century; letters of passports; regions of licences; cues before numbers without hyphen
+        "id_number": [*(f"{d}{h}{c}" for d in "0123456789" for h in ("-", " -", "- ", " - ") for c in "12345678"), *(f"{x}{d}" for x in "MSRODGP" for d in "0123456789"), *(f"{n}-" for n in range(11, 29)), *ID_CUES],
     }
     for kind, words in cues.items():
         for w in words:
@@ -80,7 +87,6 @@ def anchors():
     return a
 
 
-_DIGIT13 = re.compile(r"(?<![\dA-Za-z-])(?:\d{6}\s?-\s?\d{7}|\d{13}|[MSRODGP]\d{3}|\d\d-\d\d-\d{6}-\d\d)", re.ASCII)
 _FREE = "0123456789-."
 
 
@@ -100,7 +106,8 @@ def _other(text: str, at: int) -> bool:
 
 
 _WIDE_SIGN = re.compile("[" + "".join(map(re.escape, map(chr, _WIDE))) + "]")
-_STREET = re.compile(r"(?:로|길)\s?\d|\d번지", re.ASCII)
+_AREA = regex.compile(rf"{_REGION}|[가-힣]{{1,6}}(?:시|군|구|읍|면)")
+_LOT = regex.compile(r"(?:산\s?)?[0-9]+(?:-[0-9]+)?$")
 _NAME_BACK = regex.compile(rf"(?<![가-힣])(?P<name>{_NAME})$")
 _TITLE_AT = regex.compile(rf"\s(?:{_TITLE})(?:(?![가-힣])|(?=[은는이가을를의에도과와께]|에게|입니다))")
 
@@ -138,7 +145,7 @@ def _names(text: str, anchored: list[int]) -> Iterator[tuple[int, int, str]]:
         elif text.startswith("명단", at):
             found = [*_listed(text, at)]
         elif text[at] != " ":
-            found = [*_cued(text, at)]
+            found = [*_cued(text, at), LATIN_AFTER_CUE.match(text, at)]
         elif text[at + 1] == "|":
             start, end = _line(text, at)
             if start in tables:
@@ -154,11 +161,81 @@ def _names(text: str, anchored: list[int]) -> Iterator[tuple[int, int, str]]:
                 yield (*m.span("name"), "name")
 
 
-def _addresses(text: str, anchored: list[int]) -> Iterator[tuple[int, int, str]]:
-    for start, end in dict.fromkeys(_line(text, at) for at in anchored):
-        if _STREET.search(text, start, end):
-            yield from ((m.start(), m.end(), "address") for m in ADDRESS.finditer(text, start, end) if _complete(m[0]))
-        yield from ((m.start(), m.end(), "address") for m in WESTERN.finditer(text, start, end))
+def _word_start(text: str, at: int) -> int:
+    while at and (text[at - 1].isdigit() or "가" <= text[at - 1] <= "힣"):
+        at -= 1
+    return at
+
+
+def _address(text: str, at: int) -> tuple[int, int, str] | None:
+    """From the end of a street's or lot's name to the left over town, city and region, then checked as a whole to the right."""
+    if text.startswith("번지", at):
+        lot = _LOT.search(text, max(0, at - 24), at)
+        if not lot or not lot.start() or text[lot.start() - 1] != " ":
+            return None
+        start = _word_start(text, lot.start() - 1)
+    else:
+        start = _word_start(text, at)
+    street = start
+    while start and text[start - 1] == " ":
+        left = _word_start(text, start - 1)
+        if not _AREA.fullmatch(text, left, start - 1):
+            break
+        start = left
+    while start <= street:
+        m = ADDRESS.match(text, start)
+        if m and m.end() > at and _complete(m[0]):
+            return start, m.end(), "address"
+        start = text.find(" ", start, street) + 1 or street + 1
+    return None
+
+
+def _western(text: str, at: int) -> tuple[int, int, str] | None:
+    """From the street's ending to the left over its name and number."""
+    start = at
+    while start and (text[start - 1].isascii() and text[start - 1].isalpha() or text[start - 1] == "-"):
+        start -= 1
+    m = _NUMBER_BACK.search(text, max(0, start - 12), start)
+    found = m and WESTERN.match(text, m.start())
+    return (m.start(), found.end(), "address") if found else None
+
+
+_NUMBER_BACK = regex.compile(r"(?<![0-9-])[0-9]+(?:-[0-9]+)?,?\s$")
+
+
+def _digits_back(text: str, at: int, signs: str = "0123456789- ") -> int:
+    """The first sign of the run of digits, hyphens and blanks that ends before at, without what isn't a digit."""
+    start = at
+    while start and at - start < 8 and text[start - 1] in signs:
+        start -= 1
+    while start < at and not text[start].isdigit():
+        start += 1
+    return start
+
+
+def _id_number(text: str, at: int) -> tuple[int, int, str] | None:
+    """An identity number around its anchor: hyphen and century, letter of a passport, region of a licence, or cue."""
+    if text[at].isdigit():
+        hyphen = text.index("-", at)
+        for start in (_digits_back(text, hyphen, "0123456789 "), at):
+            head = text[start - 1] if start else " "
+            if head.isascii() and (head.isalnum() or head == "-"):
+                continue
+            if (r := RESIDENT.match(text, start)) and _resident(r) or (r := LICENCE.match(text, start)):
+                return None if _other(text, start) else (start, r.end(), "id_number")
+        return None
+    if text[at].isascii():
+        head = text[at - 1] if at else " "
+        m = None if head.isascii() and (head.isalnum() or head == "-") else PASSPORT.match(text, at)
+        return (at, m.end(), "id_number") if m and not _other(text, at) else None
+    m = _AFTER_ID.match(text, at)
+    r = m and RESIDENT.match(text, m.end())
+    return (m.end(), r.end(), "id_number") if r and _resident(r) and not _other(text, m.end()) else None
+
+
+#: Thirteen digits in a row, which have no sign that an anchor could be.
+_BARE = re.compile(r"(?<![\dA-Za-z-])\d{13}(?![\d*-])", re.ASCII)
+_AFTER_ID = regex.compile(rf"(?:{'|'.join(ID_CUES)})\s*[:：]?\s*")
 
 
 def _email(text: str, at: int) -> tuple[int, int, str] | None:
@@ -189,13 +266,11 @@ def mentions(original: str) -> list[tuple[int, int, str]]:
     for end, (n, kind) in anchors().iter(text):
         kinds.setdefault(kind, []).append(end - n + 1)
     spans = [s for at in kinds.get("email", ()) if (s := _email(text, at))]
-    for m in _DIGIT13.finditer(text):
-        at = m.start()
-        if (r := RESIDENT.match(text, at)) and _resident(r) and not _other(text, at):
-            spans.append((at, r.end(), "id_number"))
-        elif ((p := PASSPORT.match(text, at)) or (p := LICENCE.match(text, at))) and not _other(text, at):
-            spans.append((at, p.end(), "id_number"))
-    spans += _addresses(text, kinds.get("address", []))
+    parsers = (("id_number", _id_number), ("address", _address), ("western", _western))
+    spans += [s for kind, parse in parsers for at in kinds.get(kind, ()) if (s := parse(text, at))]
+    for m in _BARE.finditer(text):
+        if (r := RESIDENT.match(text, m.start())) and _resident(r) and not _other(text, m.start()):
+            spans.append((*r.span(), "id_number"))
     phones = [s for at in kinds.get("phone", ()) if (s := _phone(text, at))]
     spans += [p for p in phones if not any(s < p[1] and p[0] < e for s, e, _ in spans)]
     spans += _names(text, kinds.get("name", []))
@@ -226,6 +301,10 @@ def _find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([[{"pos": p, "length": n, "pii_type": k} for p, n, k in mentions(t)] if isinstance(t, str) and t else [] for t in texts], dtype="object")
 
 
+#: What a text with a mention has: a digit, an at-sign or a cue; the first check, in the JVM.
+ANCHORED = "[0-9０-９@＠]|\\[at\\]|\\(at\\)|Contact|명단|" + "|".join(dict.fromkeys([*CUES, *TITLES]))
+
+
 def with_mentions(df: DataFrame, text: str = "text", out: str = "mentions") -> DataFrame:
     """Adds an array of (pos, length, pii_type); null and empty texts have none."""
     return df.withColumn(out, F.pandas_udf(_find, _FOUND)(text))
@@ -242,22 +321,38 @@ def masked(text: str, found: str = "mentions"):
     return F.aggregate(found, start, step, lambda acc: F.concat(acc["done"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
 
 
+_MENTION = pa.schema([("place", pa.string()), ("row_id", pa.int64()), ("pos", pa.int32()), ("pii_type", pa.string())])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each mention; an entry of an array (at is its index) gives each type once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            out: list[list] = [[], [], [], []]
+            for place, row, at, text in zip(*(c.to_pylist() for c in batch.slice(start, 1000).columns), strict=True):
+                found = mentions(text)
+                spots = [(p, k) for p, _, k in found] if at is None else [(at, k) for k in dict.fromkeys(k for _, _, k in found)]
+                for pos, kind in spots:
+                    for column, x in zip(out, (place, row, pos, kind), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _MENTION, strict=True)], schema=_MENTION)
+
+
 def pii_mentions(source_documents: DataFrame, contacts: DataFrame) -> DataFrame:
     """place, row_id, pos and pii_type of every mention, each once.
 
-    In contacts an entry counts as what it is by content, whichever array it is in; entries that hold no whole mention,
-    null entries and null arrays give nothing.
+    In contacts an entry counts as what it is by content, whichever array it is in, and as each of several types that it
+    holds; entries that hold no whole mention, null entries and null arrays give nothing. Texts of both tables pass
+    Python together and once, and only those with a sign that some anchor has.
     """
-    docs = with_mentions(source_documents.select("src_doc_id", "text").where("text <> ''"))
-    rows = docs.select(F.lit("source_documents").alias("place"), F.col("src_doc_id").alias("row_id"), F.explode("mentions").alias("m")).select("place", "row_id", "m.pos", "m.pii_type")
+    asked = source_documents.select(F.lit("source_documents").alias("place"), F.col("src_doc_id").alias("row_id"), F.lit(None).cast("int").alias("at"), "text")
     for column in ("phones", "emails"):
-        entries = contacts.select(F.lit(f"contacts.{column}").alias("place"), F.col("contact_id").alias("row_id"), F.posexplode(column).alias("pos", "entry")).distinct().where("entry <> ''")
-        typed = with_mentions(entries, "entry").where("size(mentions) > 0")
-        rows = rows.unionByName(typed.select("place", "row_id", "pos", F.get("mentions", F.lit(0))["pii_type"].alias("pii_type")))
-    return rows.distinct()
+        entries = contacts.select(F.lit(f"contacts.{column}").alias("place"), F.col("contact_id").alias("row_id"), F.posexplode(column).alias("at", "text"))
+        asked = asked.unionByName(entries.distinct())
+    return asked.where(F.col("text").rlike(ANCHORED)).mapInArrow(_rows, "place string, row_id bigint, pos int, pii_type string").distinct()
 
 
 def masked_documents(source_documents: DataFrame) -> DataFrame:
-    """src_doc_id, masked and n_mentions for each document with a text."""
-    docs = with_mentions(source_documents.select("src_doc_id", "text").where("text IS NOT NULL").dropDuplicates(["src_doc_id"]))
+    """src_doc_id, masked and n_mentions for each document with a text; of differing rows of one key the smallest text."""
+    docs = with_mentions(source_documents.where("text IS NOT NULL").groupBy("src_doc_id").agg(F.min("text").alias("text")))
     return docs.select("src_doc_id", masked("text").alias("masked"), F.size("mentions").alias("n_mentions"))

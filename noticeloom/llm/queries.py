@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p1_repaired(spark: SparkSession, root: str) -> DataFrame:
     """Garbled records with their original text; lost_lines counts lines that can't be put back."""
-    return mojibake.repaired_records(*tables(spark, root, "source_documents", "preset_documents")).where("garbled_lines > 0")
+    return mojibake.repaired_records(*tables(spark, root, "source_documents", "preset_documents"), garbled=True)
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -34,7 +34,7 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_canonical(spark: SparkSession, root: str) -> DataFrame:
     """The documents whose text changes in canonical form, with that form."""
-    docs = table(spark, root, "source_documents").where("text IS NOT NULL").select("src_doc_id", "text").dropDuplicates(["src_doc_id"])
+    docs = table(spark, root, "source_documents").where("text IS NOT NULL").groupBy("src_doc_id").agg(F.min("text").alias("text"))
     return canonical.canonical_column(docs, "text", "form", True).where("form IS NOT NULL").select("src_doc_id", "form")
 
 
@@ -55,13 +55,13 @@ def p7_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+    docs = table(spark, root, "documents").groupBy("doc_id").agg(F.min("text").alias("text"))
     return tokens.token_ids(docs).select("doc_id", "ids")
 
 
 def p8_sources(spark: SparkSession, root: str) -> DataFrame:
     """Documents, tokens and characters of each source, and how many texts the ids give back exactly."""
-    docs = table(spark, root, "documents").select("doc_id", "source", "text").dropDuplicates(["doc_id"])
+    docs = table(spark, root, "documents").groupBy("doc_id").agg(F.min(F.struct("text", "source")).alias("d")).select("doc_id", "d.source", "d.text")
     back = tokens.decoded(tokens.token_ids(docs))
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return back.groupBy("source").agg(

@@ -124,6 +124,32 @@ def test_pii_person_lists():
     assert names("담당자: 한가결, 이메일, 전화") == ["한가결"] and names("제출 명단: 신청서, 이력서") == [] and names("대표 이메일(a@b.example)") == []
 
 
+def test_pii_recall_by_type():
+    """Planted mentions of each type between other text; every one must come out whole."""
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    day = lambda: f"{rng.randint(50, 99)}{rng.randint(1, 12):02}{rng.randint(1, 28):02}"
+    name = lambda: rng.choice("김이박최정한황서") + rng.choice("가나다하도") + rng.choice("온람솔늘해")
+    make = {
+        "email": lambda: rng.choice((f"ab{digits(3)}@mail.example", f"kim.{digits(2)} @ a-b.example", f"x{digits(2)}[at]c.example")),
+        "phone": lambda: rng.choice((f"010-{digits(4)}-{digits(4)}", f"02) {digits(3)}-{digits(4)}", f"+82 (0)31 {digits(3)} {digits(4)}", f"(033) {digits(3)}-{digits(4)}", f"1588-{digits(4)}")),
+        "id_number": lambda: rng.choice((f"{day()}-1{digits(6)}", f"{day()} - 2{digits(6)}", f"{day()}3{digits(6)}", f"M{digits(8)}", f"11-{digits(2)}-{digits(6)}-{digits(2)}")),
+        "address": lambda: rng.choice((f"가람시 은하대로 {rng.randint(1, 99)}-{rng.randint(1, 9)}", f"서울특별시 마루구 별빛나루로 {rng.randint(1, 99)}, 이음관 3층", f"강원도 한울군 미르면 새솔동 산 {rng.randint(1, 99)}번지", f"{rng.randint(1, 99)} Saessak-gil, Hanul-gun")),
+        "name": lambda: f"{name()}",
+    }
+    frame = {"email": "이메일 {} 로", "phone": "전화 {} 입니다", "id_number": "번호 {} 확인", "address": "주소: {} 에서", "name": "담당자: {} (팀)"}
+    for kind, one in make.items():
+        for _ in range(200):
+            x = one()
+            text = "사업 안내 2024. 3. 5. 접수\n" + frame[kind].format(x) + "\n관리번호 2026175728120, 사업자등록번호 361-77-44983"
+            assert [(text[p : p + n], k) for p, n, k in pii.mentions(text)] == [(x, kind)], text
+
+
+def test_pii_latin_names_and_cues():
+    for text, want in (("작성자 John Smith", "John Smith"), ("담당자: Jane Roe (팀)", "Jane Roe"), ("주민등록번호: 7411081016704", "7411081016704")):
+        assert [text[p : p + n] for p, n, _ in pii.mentions(text)] == [want]
+
+
 def test_pii_tables(spark):
     docs = spark.createDataFrame([(1, "a@b.kr 그리고 010-1234-5678 끝", "x"), (2, None, "x"), (3, "", "x")], "src_doc_id bigint, text string, mentions string").drop("mentions")
     contacts = spark.createDataFrame([(1, ["010-1234-5678", None, "내선 450", "a@b.kr"], None), (1, ["010-1234-5678", None, "내선 450", "a@b.kr"], None), (2, [], [""])], "contact_id bigint, phones array<string>, emails array<string>")
@@ -187,6 +213,9 @@ def test_mixing(spark):
     mix = mixing.mixed(docs, goals)
     got = {r["source"]: r for r in mixing.shares(mix, goals).collect()}
     assert all(abs(r["actual_share"] - r["target_share"]) < 0.02 and r["most_uses"] <= r["max_repeats"] for r in got.values())
+    copies = spark.createDataFrame([(i, "a", "same text " * 9) for i in range(10)], "doc_id bigint, source string, text string")
+    all_a = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
+    assert [mixing.mixed(copies, all_a, merge_copies=m).count() for m in (True, False)] == [1, 10]
     assert mixing.mixed(docs.limit(0), goals).collect() == [] and sorted(map(tuple, mixing.mixed(docs, goals).collect())) == sorted(map(tuple, mix.collect()))
 
 
