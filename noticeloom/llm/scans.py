@@ -130,6 +130,10 @@ _PAGE_NO = regex.compile(PAGE_NO)
 #: A page number at the end of a header line.
 _PAGE_END = regex.compile(r"\s{2,}(?:[-–(\[〔]\s*)?[0-9OoIlSBZ]{1,3}(?:\s*/\s*[0-9OoIlSBZ]{1,3})?(?:\s*[-–)\]〕])?\s*$")
 _NUMBER = fold(NUMBER_WORDS)
+_NUMBER_OF_PAGE = regex.compile("[0-9OoIlSBZ]{1,3}(?![A-Za-z])")
+_SAYS_PAGE = regex.compile(r"[Pp]age|[Pp]\.|쪽|^[-–‐]")
+#: Page numbers that may be missing between two.
+MISSED = 3
 
 
 def _near(a: str, b: str, limit: int) -> bool:
@@ -151,24 +155,58 @@ def _near(a: str, b: str, limit: int) -> bool:
     return row[-1] <= limit
 
 
+def _page_numbers(lines: list[str], full: list[int]) -> set[int]:
+    """Lines that hold a page number alone: of its form, and numbers of one form go on from page to page, or the line is at
+    the text's edge or before the line that the text begins with, or says that it is a page."""
+    shaped = [(i, _NUMBER_OF_PAGE.sub("#", lines[i].strip()), int(_NUMBER_OF_PAGE.search(lines[i])[0].translate(_tables()[0]))) for i in full if _PAGE_NO.match(lines[i])]
+    if not shaped:
+        return set()
+    first = fold(lines[full[0]].strip())
+    after = dict(zip(full, full[1:], strict=False))
+    out = set()
+    for k, (i, form, value) in enumerate(shaped):
+        follows = any(f == form and 0 < abs(value - v) <= MISSED and (value > v) == (k > n) for n, (_, f, v) in enumerate(shaped) if n != k)
+        edge = i in (full[0], full[-1]) or _near(fold(lines[after[i]].strip()), first, int(len(first) * HEADER_NEAR))
+        if follows or edge or _SAYS_PAGE.search(form):
+            out.add(i)
+    return out
+
+
+def _running(lines: list[str], edges: list[int], body: list[int]) -> set[int]:
+    """Lines at the same edge of several pages that are near each other, and lines elsewhere that are near these."""
+    texts = {i: fold(lines[i].strip()) for i in body}
+    near = lambda i, j: _near(texts[i], texts[j], int(min(len(texts[i]), len(texts[j])) * HEADER_NEAR))
+    model = next((i for i in edges if sum(near(i, j) for j in edges) * 2 > len(edges)), None)
+    return set() if model is None or len(edges) < 3 else {i for i in body if near(model, i)}
+
+
 def line_roles(lines: list[str]) -> list[str]:
     """header, page_no, blank or body for each line of a scanned document; "header page_no" where it is both.
 
-    The header is the first line, if it comes again after the notice number or the title below begins like it.
+    The running header is the first line, if it comes again after the notice number or the title below begins like it;
+    or a line that more than half of the pages begin or end with, where page numbers show three pages or more.
     """
-    roles = ["blank" if not x.strip() else "page_no" if _PAGE_NO.match(x) else "body" for x in lines]
-    ends = {i for i, x in enumerate(lines) if roles[i] == "body" and _PAGE_END.search(x)}
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    numbers = _page_numbers(lines, full)
+    roles = ["blank" if not x.strip() else "page_no" if i in numbers else "body" for i, x in enumerate(lines)]
+    body = [i for i in full if roles[i] == "body"]
+    ends = {i for i in body if _PAGE_END.search(lines[i])}
     lines = [_PAGE_END.sub("", x) if i in ends else x for i, x in enumerate(lines)]
+    heads: set[int] = set()
     first = fold(lines[0].strip()) if lines else ""
-    if len(first) < 6 or roles[0] != "body":
-        return roles
-    limit = int(len(first) * HEADER_NEAR)
-    number = next((i for i, x in enumerate(lines) if _NUMBER in fold(x)), 0)
-    again = [i for i, x in enumerate(lines) if i > max(number, 0) and roles[i] == "body" and abs(len(x.strip()) - len(lines[0].strip())) <= limit + 2 and _near(fold(x.strip()), first, limit)]
-    title = fold(" ".join(" ".join(lines[1:number]).split()))
-    if again or number > 1 and _near(title[: len(first)], first, limit):
-        for i in [0, *again]:
-            roles[i] = "header page_no" if i in ends else "header"
+    if first and roles[0] == "body":
+        limit = int(len(first) * HEADER_NEAR)
+        number = next((i for i in body if _NUMBER in fold(lines[i])), 0)
+        again = [i for i in body if i > number and abs(len(lines[i].strip()) - len(lines[0].strip())) <= limit + 2 and _near(fold(lines[i].strip()), first, limit)]
+        title = fold(" ".join(" ".join(lines[1:number]).split()))
+        if again or number > 1 and limit and _near(title[: len(first)], first, limit):
+            heads = {0, *again}
+    if not heads and len(numbers) > 1:
+        tops = [i for i, before in zip(full[1:], full, strict=False) if before in numbers and roles[i] == "body"]
+        bottoms = [i for i, after in zip(full, full[1:], strict=False) if after in numbers and roles[i] == "body"]
+        heads = _running(lines, tops, body) | _running(lines, bottoms, body)
+    for i in heads:
+        roles[i] = "header page_no" if i in ends else "header"
     return roles
 
 
@@ -232,26 +270,34 @@ def vocabulary(clean: DataFrame) -> DataFrame:
 def page_noise(source_documents: DataFrame) -> DataFrame:
     """src_doc_id, line_no and noise_kind: one row per noisy line and kind, see the module.
 
+    A document of one line has no line ends; an empty corpus knows no words, so only lines with a hyphen are broken then.
+    """
+    edges, split, wrong = _found(source_documents)
+    misread = wrong.select("src_doc_id", "line_no", F.lit("misread").alias("noise_kind")).distinct()
+    return edges.unionByName(split).unionByName(misread)
+
+
+def _found(source_documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Headers and page numbers, broken words, and misread words m with the corpus's word best, each with its line.
+
     The pieces of scanned documents and the corpus's word pairs are each written to the shared folder once, as several
-    joins read them. A document of one line has no line ends; an empty corpus knows no words, so only lines with a
-    hyphen are broken then.
+    joins read them.
     """
     pieces = materialise(scanned_documents(source_documents).mapInArrow(_cut, _PIECES), "scan-pieces")
     counted = materialise(vocabulary(source_documents.where((F.col("text") != "") & ~is_scanned()).select("text")), "scan-words")
     words = materialise(with_fold(counted.groupBy("m").agg(F.sum("n").alias("n"))), "scan-vocabulary")
     classes = words.groupBy("f", "u").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("m", F.struct("n", "m")).alias("best"))
     edges = pieces.where("role <> 'line'").select("src_doc_id", "line_no", F.col("role").alias("noise_kind"))
-    misread = F.lit("misread").alias("noise_kind")
     inside = pieces.where("role = 'line'").select("src_doc_id", "line_no", F.explode("ms").alias("m"))
     unknown = inside.select("m").distinct().join(words.select("m"), "m", "left_anti")
-    suspects = _looked_up(with_fold(unknown), classes).where("m <> best").select("m")
-    wrong = inside.join(suspects, "m").select("src_doc_id", "line_no", misread)
+    suspects = _looked_up(with_fold(unknown), classes).where("m <> best").select("m", "best")
+    wrong = inside.join(suspects, "m").select("src_doc_id", "line_no", "m", "best")
     ends = pieces.where("role = 'line' AND next_no IS NOT NULL").select("src_doc_id", "line_no", "next_no", "m", "m2", "j", "hyphen")
     verdicts = materialise(_pair_verdicts(ends.select("m", "m2", "j", "hyphen").distinct(), counted, words, classes), "scan-verdicts")
     ends = ends.join(verdicts, ["m", "m2", "j", "hyphen"])
     split = ends.where("split").select("src_doc_id", "line_no", F.lit("split_word").alias("noise_kind"))
-    wrong = wrong.unionByName(ends.where("bad1").select("src_doc_id", "line_no", misread)).unionByName(ends.where("bad2").select("src_doc_id", F.col("next_no").alias("line_no"), misread))
-    return edges.unionByName(split).unionByName(wrong.distinct())
+    wrong = wrong.unionByName(ends.where("best1 IS NOT NULL").select("src_doc_id", "line_no", "m", F.col("best1").alias("best")))
+    return edges, split, wrong.unionByName(ends.where("best2 IS NOT NULL").select("src_doc_id", F.col("next_no").alias("line_no"), F.col("m2").alias("m"), F.col("best2").alias("best")))
 
 
 def _looked_up(asked: DataFrame, classes: DataFrame) -> DataFrame:
@@ -261,10 +307,10 @@ def _looked_up(asked: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _pair_verdicts(pairs: DataFrame, counted: DataFrame, words: DataFrame, classes: DataFrame) -> DataFrame:
-    """For each pair at a line end: split, and whether the word of the first and of the second line is misread.
+    """For each pair at a line end: split, and, where the word of the first or second line is misread, what it should be.
 
     A pair without hyphen is one word where the corpus has the whole more often than the pair side by side, or knows
-    neither the whole, nor the pair, nor any half of it.
+    neither the whole, nor the pair, nor any half of it, where both halves are Hangul.
     """
     asked = pairs.select(F.explode(F.array("m", "m2", "j")).alias("m")).distinct().join(words.select("m", F.lit(True).alias("known")), "m", "left")
     looked = materialise(_looked_up(with_fold(asked), classes), "scan-looked-up")
@@ -272,18 +318,21 @@ def _pair_verdicts(pairs: DataFrame, counted: DataFrame, words: DataFrame, class
     for side, own in (("1", "m"), ("2", "m2"), ("j", "j")):
         p = p.join(looked.select(F.col("m").alias(own), *[F.col(c).alias(f"{c}{side}") for c in ("f", "u", "n", "best", "known")]), own, "left")
     folds = words.select("m", F.col("f").alias("f1"), F.col("u").alias("v1"))
-    wanted = counted.where("m2 IS NOT NULL").join(folds, "m").join(folds.toDF("m2", "f2", "v2"), "m2").groupBy("f1", "v1", "f2", "v2").agg(F.sum("n").alias("n"))
+    # only neighbours whose folds some pair asks for, so that common words meet few others
+    firsts, seconds = folds.join(p.select("f1").distinct(), "f1", "left_semi"), folds.toDF("m2", "f2", "v2").join(p.select("f2").distinct(), "f2", "left_semi")
+    wanted = counted.where("m2 IS NOT NULL").join(firsts, "m").join(seconds, "m2").groupBy("f1", "v1", "f2", "v2").agg(F.sum("n").alias("n"))
     keys = ["f1", "u1", "f2", "u2"]
     bigrams = p.select(*keys).distinct().join(wanted, ["f1", "f2"]).where(alike("u1", "v1") & alike("u2", "v2")).groupBy(*keys).agg(F.sum("n").alias("n_pair"))
     p = p.join(bigrams, keys, "left")
     p = p.fillna(0, ["n1", "n2", "nj", "n_pair"]).fillna(False, ["known1", "known2", "knownj"])
-    whole = (F.col("nj") > F.col("n_pair")) | F.expr("nj = 0 AND n_pair = 0 AND n1 = 0 AND n2 = 0")
+    whole = (F.col("nj") > F.col("n_pair")) | F.expr("nj = 0 AND n_pair = 0 AND n1 = 0 AND n2 = 0 AND m RLIKE '[가-힣]$' AND m2 RLIKE '^[가-힣]'")
     p = p.withColumn("split", F.col("hyphen") | whole)
     wrong = F.expr("split AND NOT knownj AND bestj <> j")
     head, rear = F.expr("substring(bestj, 1, length(m)) = m"), F.expr("right(bestj, length(m2)) = m2")
     alone1, alone2 = F.expr("NOT split AND NOT known1 AND best1 <> m"), F.expr("NOT split AND NOT known2 AND best2 <> m2")
-    no = F.lit(False)
-    return p.select("m", "m2", "j", "hyphen", "split", F.coalesce(alone1 | wrong & ~head, no).alias("bad1"), F.coalesce(alone2 | wrong & ~rear, no).alias("bad2"))
+    fix1 = F.when(alone1, F.col("best1")).when(wrong & ~head, F.expr("substring(bestj, 1, length(m))"))
+    fix2 = F.when(alone2, F.col("best2")).when(wrong & ~rear, F.expr("right(bestj, length(m2))"))
+    return p.select("m", "m2", "j", "hyphen", "split", fix1.alias("best1"), fix2.alias("best2"))
 
 
 def repaired_text(source_documents: DataFrame) -> DataFrame:
@@ -292,36 +341,75 @@ def repaired_text(source_documents: DataFrame) -> DataFrame:
 
     The noise found is grouped by document, which is as large as one document's text.
     """
-    noise = page_noise(source_documents).groupBy("src_doc_id").agg(F.collect_list(F.struct("line_no", "noise_kind")).alias("noise"))
+    edges, split, wrong = _found(source_documents)
+    none = F.lit(None).cast("string")
+    marks = edges.unionByName(split).withColumns({"m": none, "best": none}).unionByName(wrong.select("src_doc_id", "line_no", F.lit("misread").alias("noise_kind"), "m", "best"))
+    noise = marks.groupBy("src_doc_id").agg(F.collect_set(F.struct("line_no", "noise_kind", "m", "best")).alias("noise"))
     docs = scanned_documents(source_documents).join(noise, "src_doc_id", "left")
+    column = lambda c: F.transform(F.coalesce("noise", F.array().cast("array<struct<line_no:int,noise_kind:string,m:string,best:string>>")), lambda x: x[c])
     join = F.pandas_udf(_join_lines, T.StringType())
-    kinds = F.transform(F.coalesce("noise", F.array().cast("array<struct<line_no:int,noise_kind:string>>")), lambda x: F.concat_ws(" ", x["line_no"].cast("string"), x["noise_kind"]))
-    return docs.select("src_doc_id", join("text", kinds).alias("text"))
+    return docs.select("src_doc_id", join("text", *map(column, ("line_no", "noise_kind", "m", "best"))).alias("text"))
 
 
 #: A line that begins something of its own, or ends a sentence.
 _OWN = regex.compile(r"^\s*(?:\d+\.\s|[-○●■□※▪•]\s|[가-힣 ]{2,8}[:：]\s|\S+ \| )|공고 제")
 _ENDED = regex.compile(r"(?:[.!?]|[함됨음]|부|자|업|\)|-)\s*$")
+_HEADING = regex.compile(r"^\s*\d{1,2}\.\s\D{1,24}$")
+#: The end of a line that breaks off inside a date or a period.
+_OPEN = regex.compile(r"(?:\d\.|~)\s*$")
 #: The commonest misreadings of numbers, put right beside digits.
 _AS_DIGIT = regex.compile(r"(?<=\d)[OoIlSB]|[OoIlSB](?=[\d,]*\d|[가-힣])", regex.ASCII)
 
 
-def _join_lines(texts: pd.Series, noise: pd.Series) -> pd.Series:
+_RUN = regex.compile("(0)")
+
+
+def put_right(word: str, best: str) -> str:
+    """The word as the corpus has it; best has 0 for each run of digits, which are the word's own, letters taken for digits turned."""
+    digits, _ = _tables()
+    pattern = "".join("([0-9OoIlSBZ]+)" if x == "0" else "." * len(x) for x in _RUN.split(best))
+    own = regex.fullmatch(pattern, word)
+    if not own:
+        return word
+    runs = iter(own.groups())
+    return "".join(next(runs).translate(digits) if x == "0" else x for x in _RUN.split(best))
+
+
+_WORD = regex.compile(r"\S+")
+
+
+def _line_put_right(line: str, fixes: dict[str, str]) -> str:
+    def one(m) -> str:
+        word, tail = m[0], ""
+        if mask(word) not in fixes and word[-1] in "-‐‑":
+            word, tail = word[:-1], word[-1]
+        best = fixes.get(mask(word))
+        return (put_right(word, best) if best else word) + tail
+
+    return _WORD.sub(one, line)
+
+
+def _join_lines(texts: pd.Series, lines: pd.Series, kinds: pd.Series, words: pd.Series, bests: pd.Series) -> pd.Series:
     out = []
-    for text, kinds in zip(texts, noise, strict=True):
+    for text, *noise in zip(texts, lines, kinds, words, bests, strict=True):
         marks: dict[int, set[str]] = {}
-        for x in kinds:
-            no, kind = x.split(" ")
-            marks.setdefault(int(no), set()).add(kind)
-        whole, glue = "", "\n"
+        fixes: dict[int, dict[str, str]] = {}
+        for no, kind, m, best in zip(*noise, strict=True):
+            marks.setdefault(no, set()).add(kind)
+            if m is not None:
+                fixes.setdefault(no, {})[m] = best
+        whole, glue, headed = "", "\n", False
         for i, line in enumerate(text.split("\n")):
             mine = marks.get(i, ())
             if "header" in mine or "page_no" in mine:
                 continue
+            if i in fixes:
+                line = _line_put_right(line, fixes[i])
             if "misread" in mine:
                 line = _AS_DIGIT.sub(lambda m: DIGIT_LIKE[m[0]], line)
-            if glue != "" and (_OWN.search(line) or _ENDED.search(whole)):
+            if glue != "" and not _OPEN.search(whole) and (_OWN.search(line) or _ENDED.search(whole) or headed):
                 glue = "\n"
+            headed = bool(_HEADING.match(line))
             if "split_word" in mine:
                 whole, glue = whole + glue * bool(whole) + HYPHEN.sub("", line.rstrip()), ""
             else:

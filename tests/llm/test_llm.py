@@ -170,6 +170,63 @@ def test_scans(spark):
     assert scans.page_noise(df.limit(0)).collect() == []
 
 
+def scan_of(lines, rng, header):
+    """What scanning makes of lines: pages of 9 lines with header and number, broken words, misread signs; and where."""
+    out, noisy, page = [header], {(0, "header")}, 3
+    for k, line in enumerate(lines):
+        words = line.split(" ")
+        for n, w in enumerate(words[:-1]):
+            for a, b in (("을", "올"), ("에서", "에셔"), ("신청", "신쳥"), ("제출", "졔츌"), ("원", "윈")):
+                if a in w and rng.random() < 0.3:
+                    words[n] = w.replace(a, b)
+                    noisy.add((len(out), "misread"))
+                    break
+        if len(words[-1]) > 3 and k + 1 < len(lines) and rng.random() < 0.3:
+            cut = len(words[-1]) // 2
+            noisy.add((len(out), "split_word"))
+            out += [" ".join([*words[:-1], words[-1][:cut] + "-"])]
+            out += [words[-1][cut:]]
+        else:
+            out.append(" ".join(words))
+        if k % 9 == 8:
+            noisy |= {(len(out), "page_no"), (len(out) + 1, "header")}
+            out += [f"- {page} -", header]
+            page += 1
+    return out, noisy
+
+
+def test_scans_round_trip(spark):
+    rng = random.Random(11)
+    words = "기업은 신청서를 기한 안에서 온라인으로 제출하고 담당자는 자격을 확인한 뒤에 지원금을 지급하며 협약을 맺은 사업장에서 교육을 이수한다".split()
+    sentence = lambda: " ".join(rng.sample(words, 8)) + " 안내한다."
+    table = ["12", "[1]", "I", "구분 | 한도"]
+    docs, want, planted = [], {}, {}
+    for d in range(40):
+        clean = [sentence() for _ in range(30)]
+        clean[20:20] = table
+        scan, noise = scan_of(clean, rng, f"제{d}차 지원사업 참여기업 모집 공고문")
+        docs += [(d, "image", "\n".join(scan)), (1000 + d, "text", "\n".join(x for x in clean if x not in table))]
+        want[d], planted[d] = "".join("".join(clean).split()), noise
+    df = spark.createDataFrame(docs, "src_doc_id bigint, kind string, text string")
+    found = {d: set() for d in want}
+    for r in scans.page_noise(df).collect():
+        found[r["src_doc_id"]].add((r["line_no"], r["noise_kind"]))
+    hit, n, got = (sum(len(f(d)) for d in want) for f in (lambda d: found[d] & planted[d], planted.get, found.get))
+    extra = sorted((d, x, docs[2 * d][2].split("\n")[x[0]]) for d in want for x in found[d] - planted[d])
+    assert hit >= 0.97 * n and hit >= 0.97 * got, extra[:9]
+    back = {r["src_doc_id"]: "".join(r["text"].split()) for r in scans.repaired_text(df).collect()}
+    assert sum(back[d] == want[d] for d in want) >= 36, next((back[d], want[d]) for d in want if back[d] != want[d])
+
+
+def test_scans_numbers_that_are_no_pages():
+    roles = scans.line_roles(["가나다라 사업", "본문", "12", "본문이 이어진다", "[1]", "3 / 5", "I", "OO", "끝"])
+    assert roles == ["body"] * 9
+    pages = ["사업의 목적", "1", "신청하는 방법", "2", "그 밖에 알릴 것", "3"]
+    assert scans.line_roles(pages) == ["body", "page_no"] * 3
+    footers = [x for k in range(1, 5) for x in (f"본문 {k}{'가나다라'[k - 1] * 5}", "누리재단 안내서", f"- {k} -")]
+    assert scans.line_roles(footers) == ["body", "header", "page_no"] * 4
+
+
 def test_scans_vowels_and_letters(spark):
     clean = "지원금은 현금과 지방세를 R&D 중소벤처 수수료 확인\n그 츠금은 좋은 사업이다"
     # 쇼쇼료 has ㅗ for ㅜ, which isn't confused; 초굼운 has ㅗ and ㅜ for the ㅡ of 츠금은
