@@ -283,5 +283,14 @@ def test_truncation(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, source string, text string, cut string")
     assert sorted(r["doc_id"] for r in truncation.truncated(df).where("cut").collect()) == [100, 101, 102, 103, 104]
     assert truncation.truncated(df.limit(0)).collect() == []
+    # a field of 60 signs: texts cut there, and whole ones that happen to be as long
+    rng = random.Random(3)
+    words = [a + b + c for a in "가나다라마" for b in "바사아자차" for c in "카타파하갸"]
+    long = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(60)]
+    fields = [(i, "f", x[:60].rstrip() + "겨" * (60 - len(x[:60].rstrip()))) for i, x in enumerate(long[:40])]
+    fields += [(100 + i, "f", (x[:49] + ".\n문서번호 " + str(rng.randint(10**4, 10**5 - 1)))[:60]) for i, x in enumerate(long[40:])]
+    fields += [(200 + i, "f", " ".join(rng.choice(words) for _ in range(10 + i % 17)) + ".") for i in range(300)]
+    got = truncation.truncated(spark.createDataFrame(fields, "doc_id bigint, source string, text string")).where("cut").collect()
+    assert {r["doc_id"] for r in got} == set(range(40)) and {r["signal"] for r in got} == {"limit"}
     spiked = spark.createDataFrame([(i, "s", "가" * (50 if i < 40 else 20 + i)) for i in range(120)], "doc_id bigint, source string, text string")
     assert [(r["length"]) for r in truncation.spikes(spiked).where("unit = 'chars'").collect()] == [50]
