@@ -1,14 +1,15 @@
 """Moments of a call: many notations, precisions and zones, one unambiguous instant.
 
 An ordered cascade of anchored patterns, each parsed strictly: a text that no pattern covers whole, or whose fields
-form no date, is no moment. Everything is a Spark expression.
+form no date, is no moment. The first pattern that covers the text takes all its fields out in one pass, in one order for
+all notations; what follows is arithmetic on them. Everything is a Spark expression, in steps of a projection each.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Names of zones in texts. Letter zones with a season are fixed offsets, the others are regions.
 ZONES = {
@@ -100,46 +101,49 @@ def _zone(word: Column, default: Column) -> Column:
     )
 
 
-def _of_form(f: Form, text: Column, posted: Column, zone: Column, bare: Column) -> Column:
-    p = f"^(?:{f.pattern})$"
-    g = [F.regexp_extract(text, p, i) if i else F.lit("") for i in f.groups]
-    year, month, day = _int(g[0]), _int(g[1]), _int(g[2])
-    if "Jan" in f.pattern:
-        names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)])
-        month = F.element_at(names, g[1])
-    if f.name == "short year":
-        year = year + 2000
-    if f.groups[0]:
-        date = _date(year, month, day)
-    else:
-        this = F.year(posted)
-        at = lambda y: _date(y, month, day)
-        # the 29th of February may be up to eight years away
-        years = F.filter(F.array(*[at(this + i) for i in range(9)]), lambda d: d.isNotNull() & (d >= F.to_date(posted)))
-        date = F.try_element_at(years, F.lit(1))
-    hour = _hour24(F.concat(g[3], g[7]), _int(g[4]))
-    minute = F.coalesce(_int(g[5]), F.lit(0))
-    clock = F.when((minute < 60) & (hour * 60 + minute <= 1440), hour * 60 + minute)
-    minutes = F.when(g[4] == "", bare).otherwise(clock)
-    return _shift(date, minutes, _zone(g[8], zone))
+#: Between the fields of a text, in the order of Form.groups; no notation has it.
+_GAP = "\u0001"
+
+
+def _fields(text: Column) -> Column:
+    """The nine fields of the first form that covers the text, empty where the form hasn't one; null where none covers it."""
+    out = None
+    for f in FORMS:
+        p = f"^(?:{f.pattern})$"
+        century = "20" if f.name == "short year" else ""
+        row = F.regexp_replace(text, p, _GAP.join([century * (k == 0) + (f"${i}" if i else "") for k, i in enumerate(f.groups)]))
+        out = F.when(text.rlike(p), row) if out is None else out.when(text.rlike(p), row)
+    return F.split(out, _GAP)
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", y.cast("string"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
 
 
-def moment_utc(text: Column, posted: Column, zone: Column, bare_minutes: Column | None = None) -> Column:
-    """The minute in UTC (timestamp without zone) that a text names, or null.
+def with_moment(df: DataFrame, text: str, posted: str, zone: str, out: str, bare_minutes: str | None = None) -> DataFrame:
+    """Adds the minute in UTC (timestamp without zone) that a text names, or null.
 
     posted: when the notice was posted, for dates without year. zone: IANA name for times that state none.
-    bare_minutes: minutes of the day that stand for a bare date, 23:59 where null.
+    bare_minutes: minutes of the day that stand for a bare date, 23:59 where null. All are columns of df.
     Seconds and fractions are dropped; 24:00 is the start of the next day. Null and empty texts name no moment.
     """
-    bare = F.coalesce(bare_minutes, F.lit(1439)) if bare_minutes is not None else F.lit(1439)
-    t = strip_frame(text)
+    own = df.columns
+    df = df.withColumn("_t", strip_frame(F.col(text)))
+    df = df.withColumn("_g", _fields(F.col("_t")))
+    g = [F.get("_g", F.lit(i)) for i in range(9)]
+    names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)])
+    hour, minute = _hour24(F.concat(g[3], g[7]), _int(g[4])), F.coalesce(_int(g[5]), F.lit(0))
+    bare = F.coalesce(bare_minutes, F.lit(1439)) if bare_minutes else F.lit(1439)
+    df = df.select(
+        *own, "_t", _int(g[0]).alias("_y"), F.coalesce(_int(g[1]), F.element_at(names, g[1])).alias("_m"), _int(g[2]).alias("_d"), (g[0] == "").alias("_any"),
+        F.when(g[4] == "", bare).when((minute < 60) & (hour * 60 + minute <= 1440), hour * 60 + minute).alias("_min"), _zone(g[8], F.col(zone)).alias("_z"),
+    )
+    at = lambda y: _date(y, F.col("_m"), F.col("_d"))
+    # the 29th of February may be up to eight years away
+    years = F.filter(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: at(F.year(posted) + k)), lambda d: d.isNotNull() & (d >= F.to_date(posted)))
+    df = df.withColumn("_day", F.when(F.col("_any"), F.try_element_at(years, F.lit(1))).otherwise(at(F.col("_y"))))
+    t = F.col("_t")
     seconds = F.when(t.rlike(r"^1\d{9}$"), t.try_cast("bigint")).when(t.rlike(r"^1\d{12}$"), F.floor(t.try_cast("bigint") / 1000))
     epoch = F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    out = F.when(seconds.isNotNull(), epoch + F.make_dt_interval(mins=F.floor(seconds / 60).cast("int")))
-    for f in FORMS:
-        out = out.when(t.rlike(f"^(?:{f.pattern})$"), _of_form(f, t, posted, zone, bare))
-    return out
+    named = F.when(F.col("_day").isNotNull() & F.col("_min").isNotNull(), _shift(F.col("_day"), F.col("_min"), F.col("_z")))
+    return df.select(*own, F.when(seconds.isNotNull(), epoch + F.make_dt_interval(mins=F.floor(seconds / 60).cast("int"))).otherwise(named).alias(out))

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 @query()
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return call_times.same_minute(call_times.call_moments(*tables(spark, root, "extractions", "notices", "sites")))
+    return call_times.same_minute(*tables(spark, root, "extractions", "notices", "sites"))
 
 
 @query()

@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from noticeloom.functions.moments import clock_minutes, moment_utc
+from noticeloom.functions.moments import clock_minutes, with_moment
 from noticeloom.operators.call_times import call_moments, same_minute
 
 POSTED = datetime(2024, 3, 1)
@@ -28,7 +28,7 @@ CASES = [
 def test_moments(spark):
     rows = [(i, t, z, POSTED) for i, (t, z, _) in enumerate(CASES)]
     df = spark.createDataFrame(rows, "i int, t string, z string, p timestamp")
-    got = {r["i"]: r["m"] for r in df.select("i", F.date_format(moment_utc(F.col("t"), F.col("p"), F.col("z")), "yyyy-MM-dd HH:mm").alias("m")).collect()}
+    got = {r["i"]: r["m"] for r in with_moment(df, "t", "p", "z", "m").select("i", F.date_format("m", "yyyy-MM-dd HH:mm").alias("m")).collect()}
     assert {c[0]: got[i] for i, c in enumerate(CASES)} == {c[0]: c[2] for c in CASES}
 
 
@@ -43,5 +43,6 @@ def test_same_minute(spark):
     notices = spark.createDataFrame([(1, "S", POSTED), (1, "S", POSTED), (None, None, None)], "notice_id bigint, site_id string, posted_at timestamp")
     sites = spark.createDataFrame([("S", "Asia/Seoul")], "site_id string, time_zone string")
     ext = spark.createDataFrame(rows, kind)
-    assert [tuple(r) for r in same_minute(call_moments(ext, notices, sites)).collect()] == [(1, 0)]
-    assert same_minute(call_moments(ext.limit(0), notices.limit(0), sites.limit(0))).collect() == []
+    assert [tuple(r) for r in same_minute(ext, notices, sites).collect()] == [(1, 0)]
+    assert [(r["extraction_id"], r["ord"]) for r in call_moments(ext, notices, sites).orderBy("ord").collect()] == [(1, 0), (1, 1), (1, 2)]
+    assert same_minute(ext.limit(0), notices.limit(0), sites.limit(0)).collect() == []
