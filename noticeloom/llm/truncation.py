@@ -34,12 +34,14 @@ def _masked(text: Column) -> Column:
     return F.regexp_replace(t, r"https?://\S+/", "https://¤/")
 
 
+#: Blanks that texts may end in.
+_BLANKS = " \t\n\x0b\f\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _SENTENCE, _SEED = r"(?<=[.?!])\s+", 17
 
 
 def segments(text: Column) -> Column:
     """Lines, cut at sentence ends, without blank ones."""
-    return F.filter(F.split(text, r"\n+|(?<=[.?!])\s+"), lambda s: s.rlike(r"\S"))
+    return F.filter(F.split(text, r"\n|(?<=[.?!])\s+"), lambda s: F.trim(s) != "")
 
 
 def spikes(documents: DataFrame) -> DataFrame:
@@ -67,8 +69,7 @@ def ends(documents: DataFrame) -> DataFrame:
     Null, empty and blank texts are left out; a repeated doc_id counts once, of differing rows the smallest text.
     """
     docs = documents.where(F.col("text").rlike(r"(?U)\S")).groupBy("doc_id").agg(F.min(F.struct("source", "text")).alias("d")).select("doc_id", F.col("d.source").alias("source"), F.col("d.text").alias("text"))
-    text = F.regexp_replace("text", r"(?U)\s+$", "")
-    line = F.substring_index(text, "\n", -1)
+    line = F.substring_index(F.rtrim("text", F.lit(_BLANKS)), "\n", -1)
     end = F.element_at(F.filter(F.split(line, _SENTENCE), lambda x: x.rlike(r"\S")), -1)
     last = docs.select("doc_id", "source", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), end.alias("end"))
     last = last.withColumn("key", F.regexp_replace(_masked(F.col("end")), r"^\s+", ""))
@@ -94,10 +95,11 @@ def _continuations(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     the join to the ends have a row a key: no end meets more than one row. is_whole: a segment ends there; is_start:
     something goes on there.
     """
-    segs = segments(F.regexp_replace("text", r"(?U)\s+$", ""))
-    whole = docs.select(segs.alias("segs")).select(F.explode(F.filter("segs", lambda s, i: (i < F.size("segs") - 1) | s.rlike(TERMINAL) & ~s.rlike(CUT_MARK))).alias("s"))
-    # segments repeat much, so they are made distinct before they are masked and cut
-    whole = whole.select(F.regexp_replace("s", "[0-9]+", "0").alias("s")).distinct()
+    # the last one first; outer, as the optimiser would cut the texts once more to see whether a generator gives rows
+    segs = docs.select(F.posexplode_outer(F.reverse(segments(F.rtrim("text", F.lit(_BLANKS))))).alias("back", "s")).where("s IS NOT NULL")
+    # segments repeat much, so they are made distinct before they are looked at, masked and cut
+    whole = segs.select((F.col("back") == 0).alias("last"), F.regexp_replace("s", "[0-9]+", "0").alias("s")).distinct()
+    whole = whole.where(~F.col("last") | F.col("s").rlike(TERMINAL) & ~F.col("s").rlike(CUT_MARK)).select("s").distinct()
     whole = whole.select(F.split(F.regexp_replace(_masked(F.col("s")), r"^\s+|\s+$", ""), " ").alias("ws")).distinct()
     step = lambda acc, w: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), w)))
     hashes = F.aggregate("ws", F.array(F.lit(_SEED).cast("bigint")), step)
