@@ -38,6 +38,11 @@ def call_moments(extractions: DataFrame, notices: DataFrame, sites: DataFrame) -
 
 
 def same_minute(extractions: DataFrame, notices: DataFrame, sites: DataFrame) -> DataFrame:
-    """extraction_id and ord of schedule entries that name the same minute as the deadline; only these meet in a shuffle."""
+    """extraction_id and ord of schedule entries that name the same minute as the deadline; only these meet in a shuffle.
+
+    The comparison goes through a generator, as the optimiser would write a filter's moments out again in full below
+    the steps that make them.
+    """
     rows = _entries(extractions, notices, sites)
-    return rows.where(F.col("entry_utc") == F.col("apply_end_utc")).select("extraction_id", "ord").distinct()
+    same = F.when(F.col("entry_utc") == F.col("apply_end_utc"), F.array("ord"))
+    return rows.select("extraction_id", F.explode_outer(same).alias("ord")).where("ord IS NOT NULL").distinct()
