@@ -5,38 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Notations of dates with four and two digits of the year, and without year.
-_Y4 = r"([0-9]{4})\s*[.\-/년]\s*([0-9]{1,2})\s*[.\-/월]\s*([0-9]{1,2})"
-_Y2Q = r"['‘’`´]\s*([0-9]{2})\s*[.\-/]\s*([0-9]{1,2})\s*[.\-/]\s*([0-9]{1,2})"
-_Y2 = r"(?<![0-9.])([0-9]{2})\.([0-9]{2})\.([0-9]{2})(?![0-9])"
-_MD = (
-    r"(?<![0-9][.\-/년]\s?)([0-9]{1,2})\s*월\s*([0-9]{1,2})\s*일",
-    r"(?<![0-9.])([0-9]{1,2})\s*\.\s*([0-9]{1,2})\s*\.(?!\s*[0-9])",
-    r"(?<![0-9.])([0-9]{1,2})\s*\.\s*([0-9]{1,2})\s*\(\s*[월화수목금토일]",
+NOTATIONS = (
+    r"[0-9]{4}\s*[.\-/년]\s*[0-9]{1,2}\s*[.\-/월]\s*[0-9]{1,2}",
+    r"['‘’`´]\s*[0-9]{2}\s*[.\-/]\s*[0-9]{1,2}\s*[.\-/]\s*[0-9]{1,2}",
+    r"(?<![0-9.])[0-9]{2}\.[0-9]{2}\.[0-9]{2}(?![0-9])",
+    r"(?<![0-9][.\-/년]\s?)[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일",
+    r"(?<![0-9.])[0-9]{1,2}\s*\.\s*[0-9]{1,2}\s*\.(?!\s*[0-9])",
+    r"(?<![0-9.])[0-9]{1,2}\s*\.\s*[0-9]{1,2}\s*\(\s*[월화수목금토일]",
 )
-
-
-def _all(text: Column, pattern: str, groups: int, base: int | None) -> Column:
-    part = lambda i: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)), lambda x: x.try_cast("int"))
-    if groups == 3:
-        zipped = F.arrays_zip(part(1).alias("y"), part(2).alias("m"), part(3).alias("d"))
-        return F.transform(zipped, lambda z: F.struct((z["y"] + base).alias("year"), z["m"].alias("month"), z["d"].alias("day")))
-    zipped = F.arrays_zip(part(1).alias("m"), part(2).alias("d"))
-    return F.transform(zipped, lambda z: F.struct(F.lit(None).cast("int").alias("year"), z["m"].alias("month"), z["d"].alias("day")))
+#: Any of them; of two that begin at one place the first counts.
+DATE = "|".join(NOTATIONS)
 
 
 def dates(text: Column) -> Column:
-    """Distinct (year or null, month, day) of a text; months 1 to 12 and days 1 to 31, the calendar isn't asked.
+    """Distinct (year or null, month, day) of a text in order of appearance; months 1 to 12 and days 1 to 31, the calendar isn't asked.
 
-    A date with year may also come out without it, as its rest is one; so a wrong year alone doesn't hide a date.
+    One scan over all notations, so a period's start comes before its end. Null for null.
     """
-    found = F.concat(_all(text, _Y4, 3, 0), _all(text, _Y2Q, 3, 2000), _all(text, _Y2, 3, 2000), *[_all(text, p, 2, None) for p in _MD])
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(DATE), F.lit(0)), lambda m: F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("int")))
+    year = lambda n: F.when(F.size(n) == 3, F.when(n[0] < 100, n[0] + 2000).otherwise(n[0]))
+    found = F.transform(numbers, lambda n: F.struct(year(n).alias("year"), F.element_at(n, -2).alias("month"), F.element_at(n, -1).alias("day")))
     return F.array_distinct(F.filter(found, lambda z: z["month"].between(1, 12) & z["day"].between(1, 31)))
 
 
 def last_full_date(text: Column) -> Column:
-    """The last date with year, which in a period is its end; by position in the text, as yyyy-m-d."""
-    y, m, d = (F.regexp_extract(text, rf"(?s)^.*(?<![0-9]){_Y4}", i) for i in (1, 2, 3))
-    return F.when(y != "", F.concat_ws("-", y, m.try_cast("int").cast("string"), d.try_cast("int").cast("string")))
+    """The last date with a year, in any notation, which in a period is its end; as yyyy-m-d."""
+    full = F.filter(dates(text), lambda z: z["year"].isNotNull())
+    last = F.try_element_at(full, F.lit(-1))
+    return F.when(last.isNotNull(), F.concat_ws("-", last["year"].cast("string"), last["month"].cast("string"), last["day"].cast("string")))
 
 
 def names_date(iso: Column, text: Column) -> Column:
@@ -45,18 +41,24 @@ def names_date(iso: Column, text: Column) -> Column:
     return F.coalesce(F.exists(dates(text), lambda z: (z["month"] == m) & (z["day"] == d) & (z["year"].isNull() | (z["year"] == y))), F.lit(False))
 
 
+#: Won that a unit counts; ten thousand counts alone only before won.
+SUM_UNITS = {"억": 1e8, "천만": 1e7, "백만": 1e6, "만원": 1e4, "만": 1e4, "원": 1.0}
+
+
 def sums(text: Column) -> Column:
-    """Distinct sums in won; 1억 5천만원 gives the whole and its part."""
-    t = F.regexp_replace(text, ",", "")
-    num = r"([0-9]+(?:\.[0-9]+)?)"
-    get = lambda p, i: F.regexp_extract_all(t, F.lit(p), F.lit(i))
-    scaled = lambda p, f: F.transform(get(p, 1), lambda x: F.floor(x.cast("double") * f + 0.5).cast("bigint"))
-    eok = rf"{num}\s*억(?:\s*{num}\s*(천만|백만|만))?\s*원?"
-    rest = lambda n, u: F.coalesce(F.nullif(n, F.lit("")).cast("double"), F.lit(0.0)) * F.when(u == "천만", 1e7).when(u == "백만", 1e6).when(u == "만", 1e4).otherwise(0.0)
-    zipped = F.arrays_zip(get(eok, 1).alias("a"), get(eok, 2).alias("b"), get(eok, 3).alias("u"))
-    big = F.transform(zipped, lambda z: F.floor(z["a"].cast("double") * 1e8 + rest(z["b"], z["u"]) + 0.5).cast("bigint"))
-    plain = F.transform(get(r"([0-9]{4,})\s*원", 1), lambda x: x.try_cast("bigint"))
-    return F.array_distinct(F.concat(big, scaled(num + r"\s*천만\s*원?", 1e7), scaled(num + r"\s*백만\s*원?", 1e6), scaled(num + r"\s*만\s*원", 1e4), plain))
+    """Distinct sums in won, rounded; 1억 5천만원 gives the whole and its part. Null for null.
+
+    One scan marks each number that has a unit; a fold over the marks then reads it with the next where only blanks are
+    between them. A bare ten thousand, and won of less than four digits, count as parts only.
+    """
+    marked = F.regexp_replace(F.regexp_replace(text, ",", ""), r"([0-9]+(?:\.[0-9]+)?)\s*(억|천만|백만|만\s*원|만|원)", "\u0001$1\u0002$2\u0003")
+    cells = F.transform(F.slice(F.split(marked, "\u0001"), 2, F.length(marked)), lambda x: F.split(F.regexp_replace(x, r"만\s+원\u0003", "만원\u0003"), "[\u0002\u0003]"))
+    unit = F.create_map(*[F.lit(x) for kv in SUM_UNITS.items() for x in kv])
+    value = lambda c: c[0].cast("double") * F.element_at(unit, c[1])
+    whole = lambda c, i: value(c) + F.coalesce(F.when((c[1] == "억") & (F.trim(c[2]) == ""), F.when(F.get(cells, i + 1)[1].isin("천만", "백만", "만", "만원"), value(F.get(cells, i + 1)))), F.lit(0.0))
+    counts = lambda c: (c[1] != "만") & ((c[1] != "원") | c[0].rlike(r"^[0-9]{4,}$|\.[0-9]{4,}$"))
+    won = F.transform(cells, lambda c, i: F.when(counts(c), F.floor(F.when(c[1] == "원", F.regexp_extract(c[0], "[0-9]+$", 0).cast("double")).otherwise(whole(c, i)) + 0.5).cast("bigint")))
+    return F.array_distinct(F.filter(won, lambda x: x.isNotNull()))
 
 
 def names_sum(won: Column, text: Column) -> Column:

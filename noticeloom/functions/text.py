@@ -33,7 +33,7 @@ def with_nfkc(df: DataFrame, text: str, out: str) -> DataFrame:
 def match_form(text: Column) -> Column:
     """The form that quotes are compared in; text is in NFKC already. Null stays null."""
     t = F.regexp_replace(text, "[​-‍﻿]", "")
-    t = F.regexp_replace(t, '["「」『』]', '"')
+    t = F.regexp_replace(t, "[\"'「」『』]", '"')
     t = F.regexp_replace(F.regexp_replace(t, "[·ㆍ•]", "·"), r"\|", " ")
     return F.lower(F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^ | $", ""))
 
@@ -54,6 +54,11 @@ def contacts(text: Column) -> Column:
     return F.struct(found(PHONE).alias("phones"), found(EMAIL).alias("emails"))
 
 
+def has_contact(found: Column) -> Column:
+    """Whether a struct of contacts() holds any."""
+    return F.coalesce(F.size(found["phones"]) > 0, F.lit(False)) | F.coalesce(F.size(found["emails"]) > 0, F.lit(False))
+
+
 def mask_contacts(text: Column) -> Column:
     """E-mails, phones, names after a role and names before a title, in this order."""
     t = F.regexp_replace(F.regexp_replace(text, EMAIL, "[이메일]"), PHONE, "[연락처]")
@@ -95,6 +100,37 @@ def one_line(text: Column, n: int) -> Column:
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n - 1), F.lit("…"))).otherwise(t)
 
 
+def money(won: Column) -> Column:
+    """A sum in units of a hundred million from there on, with one decimal where it isn't whole, else of ten thousand, rounded."""
+    big = F.when(won % 100_000_000 == 0, F.format_string("%d억원", F.floor(won / 100_000_000))).otherwise(F.format_string("%.1f억원", won / 100_000_000))
+    return F.when(won >= 100_000_000, big).otherwise(F.concat(F.format_number(F.floor(won / 10_000 + 0.5), 0), F.lit("만원")))
+
+
+def overview_line(o: Column) -> Column:
+    """Organizer, sum or note, scale and deadline on one line, missing ones left out. Zero and empty values count as missing."""
+    some = lambda c, make: F.when(c.isNotNull() & (c != ""), make)
+    amount = F.when(o["amount_max_krw"] != 0, F.concat(F.lit("지원금 최대 "), F.format_number(F.floor(o["amount_max_krw"] / 10_000 + 0.5), 0), F.lit("만원"))).otherwise(some(o["amount_note"], o["amount_note"]))
+    parts = [some(o["organizer"], F.concat(F.lit("주관 "), o["organizer"])), amount, some(o["support_scale"], F.concat(F.lit("규모 "), o["support_scale"])), some(o["apply_end"], F.concat(F.lit("마감 "), o["apply_end"]))]
+    return F.concat_ws(" · ", *parts)
+
+
+#: What each stage's failure is called.
+STAGES = {"collect": "원문 수집 실패", "classify": "공고 판정 실패", "extract": "추출 실패", "verify": "검증 게이트 미통과 (발행 보류)"}
+
+
+def failure_line(stage: Column, reason: Column, no_programme: Column) -> Column:
+    """What became of a notice that gave no brief; an unknown stage stands for itself."""
+    name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STAGES.items() for x in kv]), stage), stage)
+    return F.when(F.coalesce(no_programme, F.lit(False)), F.concat(F.lit("지원사업 공고가 아닌 것으로 판정: "), F.coalesce(reason, F.lit("")))).otherwise(F.concat(name, F.lit(": "), F.coalesce(reason, F.lit(""))))
+
+
+def days_left(iso: Column, now: Column) -> Column:
+    """Days, rounded up, from a moment (timestamp) to the end of an ISO date in Korea: D-n, closed, or always open for no date."""
+    end = F.to_utc_timestamp(F.concat(iso, F.lit(" 23:59:59")).try_cast("timestamp_ntz").cast("timestamp"), "Asia/Seoul")
+    diff = F.ceil((F.unix_micros(end) - F.unix_micros(now)) / 86_400_000_000)
+    return F.when(iso.isNull() | (iso == ""), "상시/미확인").when(diff < 0, "마감").otherwise(F.concat(F.lit("D-"), diff.cast("string")))
+
+
 def reason_key(text: Column, n: int = 90) -> Column:
     """Reasons that differ in numbers only are one."""
     return F.substring(F.trim(F.regexp_replace(text, "[0-9]+", "N")), 1, n)

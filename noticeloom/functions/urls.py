@@ -66,9 +66,17 @@ def tier(url: Column, public: tuple[str, ...] = PUBLIC, public_suffix: str = ".g
 
 
 def sibling(url: Column) -> Column:
-    """The other address of a page: its mobile or desktop form; null where there is none."""
-    blog = F.regexp_replace(url, r"^https?://blog\.", "https://m.blog.")
-    return F.when(url.rlike(r"^https?://blog\."), blog)
+    """The other address of a page, null where there is none: that of its board's other state, or a blog's mobile form.
+
+    Fixed values: the board k-startup.go.kr keeps open and closed calls (with a pbancSn) under two names; one blog host.
+    """
+    h = host(url)
+    board = ((h == "k-startup.go.kr") | h.endswith(".k-startup.go.kr")) & url.rlike(r"[?&]pbancSn=[^&#]+")
+    state = F.regexp_extract(url, r"^[^?#]*/bizpbanc-(ongoing|deadline)\.do(?:[?#]|$)", 1)
+    other = F.when(state == "ongoing", "deadline").when(state == "deadline", "ongoing")
+    swapped = F.concat(F.regexp_extract(url, r"^([^?#]*/bizpbanc-)", 1), other, F.regexp_extract(url, r"^[^?#]*/bizpbanc-(?:ongoing|deadline)(.*)$", 1))
+    blog = F.when(h.isin("blog.naver.com", "www.blog.naver.com"), F.regexp_replace(url, r"(?i)^(https?://)(?:[^/?#@]*@)?(?:www\.)?blog\.naver\.com", "$1m.blog.naver.com"))
+    return F.coalesce(F.when(board, swapped), blog)
 
 
 def slug_title(url: Column) -> Column:

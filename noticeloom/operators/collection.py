@@ -73,16 +73,60 @@ def single_flight(requests: DataFrame, keys: list[str], at: str, tie: str) -> Da
 
 
 def throttled(requests: DataFrame, key: str, at: str, tie: str, seconds: int = 3) -> DataFrame:
-    """Requests that follow another of the same key by less than some seconds."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    us = lambda c: F.unix_micros(c.cast("timestamp"))
-    gap = us(F.col(at)) - us(F.lag(at).over(w))
-    return requests.withColumn("gap_us", gap).where(F.col("gap_us") < seconds * 1_000_000).select(key, tie, "gap_us")
+    """Requests that follow another of the same key by less than some seconds: key, tie and gap_us.
+
+    Time is cut into slices of an hour, or longer if seconds is; each slice of a key is looked through alone, and its
+    first request against the last of the slice before, so that no task holds all requests of a key. Null times or keys
+    follow nothing.
+    """
+    width = max(seconds, 3600) * 1_000_000
+    rows = requests.select(F.col(key), F.col(tie), F.unix_micros(F.col(at).cast("timestamp")).alias("us")).where(F.col(key).isNotNull() & F.col("us").isNotNull()).withColumn("slice", F.floor(F.col("us") / width))
+    last = rows.groupBy(key, (F.col("slice") + 1).alias("slice")).agg(F.max("us").alias("before"))
+    w = Window.partitionBy(key, "slice").orderBy("us", tie)
+    rows = rows.join(last, [key, "slice"], "left").withColumn("gap_us", F.col("us") - F.coalesce(F.lag("us").over(w), F.col("before")))
+    return rows.where(F.col("gap_us") < seconds * 1_000_000).select(key, tie, "gap_us")
 
 
 def best_link(links: DataFrame, key: str) -> DataFrame:
-    """The address of each key with a query before one without, the longer, then the smaller."""
-    rank = F.struct(F.contains("url", F.lit("?")).cast("int").alias("q"), F.length("url").alias("n"))
-    best = links.where("url IS NOT NULL").groupBy(key).agg(F.max(rank).alias("r")).select(F.col(key), "r")
-    same = links.where("url IS NOT NULL").select(key, "url", rank.alias("r")).join(best, [key, "r"])
-    return same.groupBy(key).agg(F.min("url").alias("url"))
+    """The address of each key with a query before one without, the longer, then the smaller; null addresses are left out."""
+    rank = F.struct((~F.contains("url", F.lit("?"))).alias("plain"), (-F.length("url")).alias("short"), "url")
+    return links.where("url IS NOT NULL").groupBy(key).agg(F.min(rank)["url"].alias("url"))
+
+
+def collected(notices: DataFrame, source_documents: DataFrame, preset_documents: DataFrame) -> DataFrame:
+    """notice_id, url, origin, kind and n_chars of what a notice's analysis reads, and of what it had to skip.
+
+    origin: page; body_preset, where a preset at the page's address takes its place; attachment (the first
+    MAX_ATTACHMENTS with enough text); preset (an address not read yet); skipped_page, where there is no page and presets
+    stand in; skipped_attachment (too little text). Pages need MIN_PAGE signs, others MIN_TEXT. Of repeated rows the
+    smallest key counts; a notice without any text has no row.
+    """
+    n = notices.groupBy("notice_id").agg(F.min("url").alias("url"), F.min("final_url").alias("final_url")).where("notice_id IS NOT NULL")
+    docs = source_documents.where("notice_id IS NOT NULL").groupBy("src_doc_id").agg(F.min(F.struct("notice_id", "doc_ord", "url", "kind", F.coalesce(F.length(F.trim("text")), F.lit(0)).alias("n"))).alias("d")).select("src_doc_id", "d.*")
+    page = docs.where("doc_ord = 0").groupBy("notice_id").agg(F.min(F.struct("src_doc_id", "url", "kind", "n")).alias("p")).select("notice_id", "p.*")
+    presets = preset_documents.where("notice_id IS NOT NULL AND url IS NOT NULL").select("notice_id", "url", "preset_id", F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("text").alias("kind"), F.length(F.trim("text")).alias("n"))
+    presets = presets.where(F.col("n") >= MIN_TEXT).groupBy("notice_id", "url").agg(F.min(F.struct("preset_id", "kind", "n")).alias("p")).select("notice_id", "url", "p.kind", "p.n")
+    long = presets.where(F.col("n") >= MIN_PAGE).select("notice_id", F.col("url").alias("u"), F.col("n").alias("m"))
+    at = lambda c, name: n.select("notice_id", F.col(c).alias("u")).join(long, ["notice_id", "u"]).select("notice_id", F.struct(F.col("u").alias("url"), F.col("m").alias("n")).alias(name))
+    body = n.join(page.select("notice_id", F.struct("url", "kind", "n").alias("page")), "notice_id", "left").join(at("final_url", "f"), "notice_id", "left").join(at("url", "g"), "notice_id", "left").withColumn("b", F.coalesce("f", "g"))
+    whole = F.when(F.col("b").isNotNull(), F.struct(F.lit("body_preset").alias("origin"), F.col("b.url").alias("url"), F.lit("html").alias("kind"), F.col("b.n").alias("n"))).when(
+        F.col("page.n") >= MIN_PAGE, F.struct(F.lit("page").alias("origin"), F.col("page.url").alias("url"), F.col("page.kind").alias("kind"), F.col("page.n").alias("n"))
+    ).when(F.col("page").isNull(), F.struct(F.lit("skipped_page").alias("origin"), F.coalesce("final_url", "url").alias("url"), F.lit("html").alias("kind"), F.lit(0).alias("n")))
+    first = body.select("notice_id", whole.alias("x")).where("x IS NOT NULL").select("notice_id", "x.*")
+    outcome = first_attachments(source_documents).where("outcome <> 'not_tried'").select("src_doc_id", "outcome")
+    files = docs.where("doc_ord > 0").join(outcome, "src_doc_id").select("notice_id", F.when(F.col("outcome") == "taken", "attachment").otherwise("skipped_attachment").alias("origin"), "url", "kind", "n")
+    own = first.unionByName(files)
+    more = presets.join(own.where("origin NOT LIKE 'skipped%'").select("notice_id", "url").distinct(), ["notice_id", "url"], "left_anti").select("notice_id", F.lit("preset").alias("origin"), "url", "kind", "n")
+    rows = own.unionByName(more)
+    read = rows.where("origin NOT LIKE 'skipped%'").select("notice_id").distinct()
+    return rows.join(read, "notice_id", "left_semi").select("notice_id", "url", "origin", "kind", F.col("n").alias("n_chars"))
+
+
+def first_texts(source_documents: DataFrame, documents: int, signs: int) -> DataFrame:
+    """notice_id, n_docs, text: the first signs of each of the first documents of a notice, with line ends between.
+
+    The shorter input of a model that only classifies, or that failed on the whole. Texts are cut before they meet.
+    """
+    d = source_documents.where("text IS NOT NULL AND notice_id IS NOT NULL").groupBy("src_doc_id").agg(F.min(F.struct("notice_id", "doc_ord", F.substring("text", 1, signs).alias("text"))).alias("d"))
+    all_ = d.groupBy("d.notice_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d.doc_ord", "src_doc_id", "d.text"))), F.lit(1), F.lit(documents)).alias("x"))
+    return all_.select("notice_id", F.size("x").alias("n_docs"), F.array_join(F.transform("x", lambda r: r["text"]), "\n").alias("text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,8 +14,16 @@ from noticeloom.sources.tables import table, tables
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
-#: Hosts of the project's own data that count as public, a fixed policy list.
-PUBLIC = ("hanbit1.biz-kr.example", "sprout2.biz-kr.example", "saesol3.re-kr.example", "namu4.biz-kr.example", "startup7.go-kr.example", "biznuri8.biz-kr.example", "hanbit9.or-kr.example", "sprout11.go-kr.example")
+#: Trusted hosts that a policy may have; they go to the driver.
+MAX_PUBLIC = 10_000
+
+
+def public_hosts(spark: SparkSession, root: str) -> tuple[str, ...]:
+    """The trusted hosts of the fixed table of sites."""
+    rows = table(spark, root, "sites").where("tier = 'tier1' AND host IS NOT NULL").select("host").distinct().orderBy("host").limit(MAX_PUBLIC + 1).collect()
+    if len(rows) > MAX_PUBLIC:
+        raise ValueError(f"more than {MAX_PUBLIC} trusted hosts")
+    return tuple(r["host"] for r in rows)
 
 
 def query(sql: str | None = None):
@@ -50,35 +59,43 @@ def p6_amounts(spark: SparkSession, root: str) -> DataFrame:
 
 
 _HOST = r"regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)"
+#: Addresses that the test hosts leave out: country schemes, addresses, ports, look-alikes.
+_URLS = ("https://www.a.go.kr/x", "http://b.c.co.kr:8080/", "https://user@d.or.kr/p", "https://10.0.0.1/", "https://xn--a.kr/", "https://saesol33.re-kr.example/", "https://hanbit1.biz-kr.exampel/", "nonsense", "https://single/", "https://A.B.ORG/")
+_SECOND_SQL = "list_contains([" + ", ".join(f"'{x}'" for x in urls.KR_SECOND) + "], list_extract(ls, -2))"
+_PARTS_SQL = f"""
+u AS (SELECT min(url) AS url FROM notices GROUP BY notice_id UNION SELECT min(final_url) FROM notices GROUP BY notice_id UNION SELECT unnest([{", ".join(f"'{x}'" for x in _URLS)}])),
+h AS (SELECT DISTINCT url, {_HOST} AS host FROM u WHERE url IS NOT NULL),
+l AS (SELECT *, string_split(host, '.') AS ls FROM h),
+d AS (SELECT url, host, array_to_string(list_slice(ls, CASE WHEN len(ls) >= 3 AND list_extract(ls, -1) = 'kr' AND {_SECOND_SQL} THEN -3 ELSE -2 END, -1), '.') AS domain FROM l)
+"""
 
 
-@query(f"""
-SELECT notice_id, url, {_HOST} AS host, array_to_string(list_slice(string_split({_HOST}, '.'), -2, -1), '.') AS domain,
-       list_extract(string_split(array_to_string(list_slice(string_split({_HOST}, '.'), -2, -1), '.'), '.'), 1) AS label
-FROM (SELECT notice_id, min(url) AS url FROM notices GROUP BY notice_id)
-""")
+def _addresses(spark: SparkSession, root: str) -> DataFrame:
+    n = table(spark, root, "notices")
+    one = lambda c: n.groupBy("notice_id").agg(F.min(c).alias("url")).select("url")
+    return one("url").union(one("final_url")).union(spark.createDataFrame([(u,) for u in _URLS], "url string")).where("url IS NOT NULL").distinct()
+
+
+@query(f"WITH {_PARTS_SQL} SELECT url, nullif(host, '') AS host, nullif(domain, '') AS domain, nullif(list_extract(string_split(domain, '.'), 1), '') AS label FROM d")
 def url_parts(spark: SparkSession, root: str) -> DataFrame:
-    n = table(spark, root, "notices").groupBy("notice_id").agg(F.min("url").alias("url"))
+    """Host, registrable domain and its first label of every notice's addresses and of some that the tables lack."""
     h = urls.host(F.col("url"))
-    return n.select("notice_id", "url", h.alias("host"), urls.registrable(h).alias("domain"), urls.first_label(urls.registrable(h)).alias("label"))
+    return _addresses(spark, root).select("url", h.alias("host"), urls.registrable(h).alias("domain"), urls.first_label(urls.registrable(h)).alias("label"))
 
 
-_PUBLIC_SQL = "[" + ", ".join(f"'{h}'" for h in PUBLIC) + "]"
 _NEAR_SQL = "levenshtein(domain, w) BETWEEN 1 AND 2 OR (length(label) >= 5 AND length(split_part(w, '.', 1)) >= 5 AND levenshtein(label, split_part(w, '.', 1)) BETWEEN 1 AND 2)"
-_TIER_SQL = f"""
-WITH n AS (SELECT notice_id, min(coalesce(final_url, url)) AS url FROM notices GROUP BY notice_id),
-h AS (SELECT notice_id, url, {_HOST} AS host FROM n),
-d AS (SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -2) AS label FROM h),
-t AS (SELECT notice_id, CASE WHEN host = '' THEN 'tier3'
-       WHEN host LIKE '%.go.kr' OR len(list_filter({_PUBLIC_SQL}, lambda w: host = w OR ends_with(host, '.' || w))) > 0 THEN 'tier1'
-       WHEN len(list_filter({_PUBLIC_SQL}, lambda w: {_NEAR_SQL})) > 0 THEN 'tier3' ELSE 'tier2' END AS tier FROM d)
+_TIERS_SQL = f"""
+{_PARTS_SQL}, p AS (SELECT list(DISTINCT host) AS ws FROM sites WHERE tier = 'tier1'), k AS (SELECT d.*, list_extract(string_split(domain, '.'), 1) AS label, (SELECT ws FROM p) AS ws FROM d),
+y AS (SELECT url, CASE WHEN host = '' OR regexp_matches(host, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') OR regexp_matches(host, '(^|\\.)xn--') OR coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:@]+:([0-9]+)', 1), ''), '80') NOT IN ('80', '443') THEN 'tier3'
+       WHEN host LIKE '%.go.kr' OR len(list_filter(ws, lambda w: host = w OR ends_with(host, '.' || w))) > 0 THEN 'tier1'
+       WHEN len(list_filter(ws, lambda w: {_NEAR_SQL})) > 0 THEN 'tier3' ELSE 'tier2' END AS tier FROM k)
 """
+_TIER_SQL = f"WITH {_TIERS_SQL}, n AS (SELECT notice_id, min(coalesce(final_url, url)) AS url FROM notices GROUP BY notice_id), t AS (SELECT notice_id, coalesce(tier, 'tier3') AS tier FROM n LEFT JOIN y USING (url))"
 
 
-@query(_TIER_SQL + "SELECT notice_id, tier FROM t")
+@query(f"WITH {_TIERS_SQL} SELECT url, tier FROM y")
 def domain_tier(spark: SparkSession, root: str) -> DataFrame:
-    n = table(spark, root, "notices").groupBy("notice_id").agg(F.min(F.coalesce("final_url", "url")).alias("url"))
-    return n.select("notice_id", urls.tier(F.col("url"), PUBLIC).alias("tier"))
+    return _addresses(spark, root).select("url", urls.tier(F.col("url"), public_hosts(spark, root)).alias("tier"))
 
 
 def _hits_sql(column: str, patterns: tuple[str, ...]) -> str:
@@ -107,7 +124,7 @@ x AS (SELECT t.notice_id, tier, CASE WHEN tier = 'tier3' THEN 'source' WHEN {_RI
 SELECT notice_id, tier, reason, CASE WHEN reason IS NOT NULL THEN 'reject' WHEN tier = 'tier1' AND score >= 3 THEN 'pass_fast' ELSE 'needs_llm' END AS verdict FROM x
 """)
 def precheck_verdict(spark: SparkSession, root: str) -> DataFrame:
-    return checks.precheck(*tables(spark, root, "notices", "source_documents"), PUBLIC)
+    return checks.precheck(*tables(spark, root, "notices", "source_documents"), public_hosts(spark, root))
 
 
 @query(r"SELECT src_doc_id, list_distinct(regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')).len() AS n_emails, md5(regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '[이메일]', 'g')) AS masked_md5 FROM source_documents WHERE text IS NOT NULL")
@@ -134,29 +151,48 @@ def safe_records(spark: SparkSession, root: str) -> DataFrame:
     return tx.publishable_record(table(spark, root, "extractions"))
 
 
-_FORM_SQL = (
-    "lower(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace({c}, '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]', '', 'g'), '[\"「」『』]', '\"', 'g'), '[·ㆍ•]', '·', 'g'), '|', ' '),"
-    " '[\\s\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x0b]+', ' ', 'g'), '^ | $', '', 'g'))"
-)
+def _nfkc_sql(c: str) -> str:
+    """NFKC in SQL, by rule from Unicode's own tables: signs with one compatible sign by translate, those of the blocks that
+    notices use and that have several by replace, composition by nfc_normalize."""
+    one, many = [], []
+    blocks = [range(0xA8, 0xBF), range(0x132, 0x14A), range(0x1C4, 0x1CD), range(0x1F1, 0x1F4), range(0x2D8, 0x2DE), range(0x675, 0x679), range(0x2024, 0x2058), range(0x2100, 0x213C), range(0x2474, 0x249C), range(0x3380, 0x33E0)]
+    for code in range(0x80, 0x10000):
+        way = unicodedata.decomposition(chr(code))
+        to = unicodedata.normalize("NFKC", chr(code))
+        if way and to != chr(code) and not 0xD800 <= code < 0xE000:
+            if len(to) == 1:
+                one.append((chr(code), to))
+            elif any(code in b for b in blocks):
+                many.append((chr(code), to))
+    quoted = lambda x: x.replace("'", "''")
+    out = f"translate({c}, '{quoted(''.join(a for a, _ in one))}', '{quoted(''.join(b for _, b in one))}')"
+    for a, b in many:
+        out = f"replace({out}, '{a}', '{quoted(b)}')"
+    return f"(CASE WHEN regexp_matches({c}, '[^\\n -~가-힣]') THEN nfc_normalize({out}) ELSE {c} END)"
+
+
+def _form_sql(c: str) -> str:
+    return (
+        f"lower(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace({_nfkc_sql(c)}, '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]', '', 'g'), '[\"''「」『』]', '\"', 'g'), '[·ㆍ•]', '·', 'g'), '|', ' '),"
+        " '[\\s\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x0b]+', ' ', 'g'), '^ | $', '', 'g'))"
+    )
+
+
 _TIGHT_SQL = "regexp_replace({c}, '[ \\-–—]', '', 'g')"
+#: Found quotes (e: id, notice_id, quote) among the texts of their notice.
+_FOUND_SQL = f"""
+qf AS (SELECT DISTINCT notice_id, quote, {_form_sql('quote')} AS f FROM e WHERE quote IS NOT NULL), qt AS (SELECT *, {_TIGHT_SQL.format(c='f')} AS ft FROM qf),
+df AS (SELECT DISTINCT notice_id, {_form_sql('text')} AS t FROM source_documents WHERE text IS NOT NULL), dt AS (SELECT notice_id, t, {_TIGHT_SQL.format(c='t')} AS tt FROM df),
+hit AS (SELECT qt.notice_id, quote, bool_or(length(f) >= 4 AND (contains(t, f) OR (length(ft) >= 4 AND contains(tt, ft)))) AS found FROM qt JOIN dt ON qt.notice_id = dt.notice_id GROUP BY 1, 2)
+"""
 _QUOTES_SQL = f"""
-WITH e AS (SELECT evidence_id, unnest(min({{'notice_id': notice_id, 'section': section, 'quote': quote}})) FROM evidence GROUP BY evidence_id),
-q AS (SELECT *, {_FORM_SQL.format(c='quote')} AS f FROM e),
-d AS (SELECT DISTINCT notice_id, {_FORM_SQL.format(c='text')} AS t FROM source_documents WHERE text IS NOT NULL),
-d2 AS (SELECT notice_id, t, {_TIGHT_SQL.format(c='t')} AS tt FROM d), q2 AS (SELECT *, {_TIGHT_SQL.format(c='f')} AS ft FROM q),
-r AS (SELECT evidence_id, section, q2.notice_id, coalesce(bool_or(length(f) >= 4 AND (contains(t, f) OR (length(ft) >= 4 AND contains(tt, ft)))), false) AS found
-  FROM q2 LEFT JOIN d2 ON q2.notice_id = d2.notice_id GROUP BY evidence_id, section, q2.notice_id)
+WITH e AS (SELECT evidence_id, unnest(min({{'notice_id': notice_id, 'section': section, 'quote': quote}})) FROM evidence GROUP BY evidence_id), {_FOUND_SQL},
+r AS (SELECT evidence_id, section, e.notice_id, coalesce(found, false) AS found FROM e LEFT JOIN hit ON e.notice_id = hit.notice_id AND e.quote = hit.quote)
 """
 
 
 @query(_QUOTES_SQL + "SELECT evidence_id, section, notice_id, found FROM r")
 def quotes_found(spark: SparkSession, root: str) -> DataFrame:
-    return checks.quotes_exist(*tables(spark, root, "evidence", "source_documents"), nfkc=False)
-
-
-@query()
-def quotes_found_nfkc(spark: SparkSession, root: str) -> DataFrame:
-    """Quotes that exist once compatibility forms are folded too."""
     return checks.quotes_exist(*tables(spark, root, "evidence", "source_documents"))
 
 
