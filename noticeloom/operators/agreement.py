@@ -61,7 +61,8 @@ def array_agreement(extractions: DataFrame) -> DataFrame:
 def _items(run: str) -> Column:
     """Items of all sections: section, ord, quote and the text that shows them."""
     show = {"documents": lambda x: x["name"], "schedule": lambda x: F.trim(F.concat_ws(" ", F.coalesce(x["label"], F.lit("")), F.coalesce(x["date_text"], F.lit(""))))}
-    one = lambda s: F.transform(F.coalesce(F.col(f"{run}.{s}"), F.filter(F.col(f"a.{s}"), lambda x: F.lit(False))), lambda x, i: F.struct(F.lit(s).alias("section"), i.alias("ord"), x["evidence"]["quote"].alias("quote"), show.get(s, lambda x: x["text"])(x).alias("shown")))
+    none = F.array().cast("array<struct<section:string,ord:int,quote:string,shown:string>>")
+    one = lambda s: F.coalesce(F.transform(F.col(f"{run}.{s}"), lambda x, i: F.struct(F.lit(s).alias("section"), i.alias("ord"), x["evidence"]["quote"].alias("quote"), show.get(s, lambda x: x["text"])(x).alias("shown"))), none)
     return F.concat(*map(one, SECTIONS))
 
 

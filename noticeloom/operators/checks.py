@@ -135,7 +135,7 @@ def value_checks(extractions: DataFrame, source_documents: DataFrame) -> DataFra
     q = _found(quotes, ["extraction_id", "field", "value", "given"], source_documents)
     bears = F.when(F.col("field").startswith("apply"), facts.names_date(F.col("value"), F.col("quote"))).when(F.col("field") == "amount_max_krw", facts.names_sum(F.col("value").try_cast("bigint"), F.col("quote"))).otherwise(True)
     out = q.groupBy("extraction_id", "field").agg(F.max("given").alias("given"), F.max(F.col("found") & bears).alias("ok"), F.count_if(F.col("found") & ~bears).alias("mismatched"))
-    verdict = F.when(~F.col("given"), "no_evidence").when("ok", "ok").otherwise("mismatch")
+    verdict = F.when(~F.col("given"), "no_evidence").when(F.col("ok"), "ok").otherwise("mismatch")
     return out.select("extraction_id", "field", verdict.alias("verdict"), (verdict != "ok").alias("held"), "mismatched")
 
 

@@ -10,10 +10,11 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 MAX_FILE, MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL = 15 << 20, 512, 20 << 20, 40 << 20
 #: First bytes of formats.
@@ -28,26 +29,71 @@ def sniffed(content: Column, name: Column) -> Column:
     return kind.when(head.rlike(MAGIC["zip"]), zipped).otherwise("text")
 
 
+def _lossy(raw: bytes, charset: str) -> str | None:
+    try:
+        return raw.decode(charset, "replace")
+    except LookupError:
+        return None
+
+
 def decoded(raw: bytes, declared: str | None = None) -> str:
-    """Text of bytes: the declared character set, else UTF-8, else that of a meta tag, else EUC-KR where UTF-8 loses much."""
-    if declared:
-        try:
-            return raw.decode(declared)
-        except (LookupError, UnicodeDecodeError):
-            pass
+    """Text of bytes: by a declared character set or that of a meta tag, if it isn't UTF-8; else UTF-8, or EUC-KR where UTF-8 loses more than two signs in a hundred and it loses less."""
     text = raw.decode("utf-8", "replace")
-    if m := regex.search(r"<meta[^>]+charset=[\"']?([\w-]+)", text[:2000], flags=regex.I):
-        try:
-            return raw.decode(m[1], "replace")
-        except LookupError:
-            pass
-    if text.count("�") > 0.02 * len(text):
+    meta = regex.search(r"<meta[^>]+charset=[\"']?([\w-]+)", text[:2000], flags=regex.I)
+    for charset in (declared, meta and meta[1]):
+        if charset and charset.lower() not in ("utf-8", "utf8") and (other := _lossy(raw, charset)):
+            return other
+    if text.count("�") > 0.02 * max(1, len(text)):
         other = raw.decode("cp949", "replace")
         if other.count("�") < text.count("�"):
             return other
     return text
 
 
+def _name(header: str | None) -> str | None:
+    """The file name of a Content-Disposition header: the encoded one first; a plain one in Latin-1 that is EUC-KR is put right."""
+    if not header:
+        return None
+    if m := regex.search(r"filename\*=UTF-8''([^;]+)", header, flags=regex.I):
+        try:
+            return unquote(m[1].strip().strip('"'), errors="strict")
+        except UnicodeDecodeError:
+            pass
+    m = regex.search(r'filename="?([^";]+)"?', header, flags=regex.I)
+    plain = m[1].strip() if m else ""
+    if regex.search("[\x80-\xff]", plain):
+        try:
+            return plain.encode("latin-1").decode("euc-kr")
+        except UnicodeError:
+            return plain
+    return plain or None
+
+
+def with_file_name(rows: DataFrame, header: str, out: str) -> DataFrame:
+    """Adds the file name that a header gives; null where it gives none. Only rows with a header reach Python."""
+    names = F.pandas_udf(_names, T.StringType())
+    return rows.withColumn(out, names(F.when(F.contains(F.lower(header), F.lit("filename")), F.col(header))))
+
+
+def _names(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for headers in batches:
+        yield pd.Series([_name(h if isinstance(h, str) else None) for h in headers], dtype="object")
+
+
+def parsed_reply(reply: dict) -> str:
+    """Text of a document service's reply: whole text, else Markdown, else HTML without tags, else its elements' in turn."""
+
+    def of(content: dict | None) -> str:
+        c = content or {}
+        for key in ("text", "markdown"):
+            if (c.get(key) or "").strip():
+                return c[key].strip()
+        page = regex.sub(r"(?i)<br\s*/?>|</(?:p|tr|div|h\d)>", "\n", c.get("html") or "")
+        return regex.sub(r"\n{3,}", "\n\n", regex.sub(r"[ \t]+", " ", regex.sub(r"<[^>]+>", " ", page))).strip()
+
+    return of(reply.get("content")) or "\n".join(x for x in (of(e.get("content")) for e in reply.get("elements") or []) if x).strip()
+
+
 def _entries(raw: bytes, wanted: str) -> dict[str, bytes]:
     """Entries of a ZIP whose names match, within the limits, declared and real."""
     out, total = {}, 0
@@ -170,7 +216,7 @@ def cfb_streams(raw: bytes) -> dict[str, bytes]:
 
 
 def hwp_text(raw: bytes) -> str:
-    """Sections in order; an encrypted or protected file is an error."""
+    """Sections in order; an encrypted or protected file is an error, and one with a section over the limit."""
     streams = cfb_streams(raw)
     head = streams.get("FileHeader", b"")
     if not head.startswith(b"HWP Document File"):
@@ -179,7 +225,13 @@ def hwp_text(raw: bytes) -> str:
     if flags & 0b10010:
         raise ValueError("encrypted or protected")
     names = sorted((n for n in streams if regex.fullmatch(r"BodyText/Section\d+", n)), key=lambda n: int(regex.search(r"\d+$", n)[0]))
-    inflate = lambda d: zlib.decompressobj(-15).decompress(d, MAX_ENTRY)
+
+    def inflate(data: bytes) -> bytes:
+        out = zlib.decompressobj(-15).decompress(data, MAX_ENTRY + 1)
+        if len(out) > MAX_ENTRY:
+            raise ValueError("section too large")
+        return out
+
     return "\n".join(hwp_section_text(inflate(streams[n]) if flags & 1 else streams[n]) for n in names)
 
 

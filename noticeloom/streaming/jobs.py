@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 JOB = "job_id bigint, url string, requested_at timestamp"
+STATE = "job_id bigint, state string"
 FINAL = ("published", "rejected", "failed")
 
 
@@ -31,15 +32,21 @@ def settle(results: DataFrame, states: DataFrame) -> DataFrame:
     return new.join(states.where(F.col("state").isin(*FINAL)).select("job_id"), "job_id", "left_anti")
 
 
-def run_jobs(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], states: str, checkpoint: str) -> StreamingQuery:
-    """Analyse each batch and append to the states table (Parquet folder); a batch that runs again adds nothing twice."""
+def run_jobs(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], states: str, checkpoint: str, late: str | None = None) -> StreamingQuery:
+    """Analyse each batch and append to the states table (Parquet folder); a batch that runs again adds nothing twice.
+
+    The folder is made before the first batch, so that a read that fails is a failure and not an empty table. late: keep
+    one job a URL within so much time (see first_of_key). Of the stored states only those of the batch's jobs are joined.
+    """
+    spark = stream.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(states)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        spark.createDataFrame([], STATE).write.mode("append").parquet(states)
 
     def batch(jobs: DataFrame, batch_id: int) -> None:
-        spark = jobs.sparkSession
-        try:
-            known = spark.read.schema("job_id bigint, state string").parquet(states)
-        except Exception:  # noqa: BLE001 the first batch finds no folder
-            known = spark.createDataFrame([], "job_id bigint, state string")
-        settle(analyse(jobs).select("job_id", "state"), known).write.mode("append").parquet(states)
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        known = jobs.sparkSession.read.schema(STATE).parquet(states)
+        own = known.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
+        settle(analyse(jobs).select("job_id", "state"), own).write.mode("append").parquet(states)
+
+    jobs = first_of_key(stream, late) if late else stream
+    return jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
