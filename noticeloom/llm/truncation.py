@@ -97,8 +97,9 @@ def _continuations(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     # the last one first; outer, as the optimiser would cut the texts once more to see whether a generator gives rows
     segs = docs.select(F.posexplode_outer(F.reverse(segments(F.rtrim("text", F.lit(_BLANKS))))).alias("back", "s")).where("s IS NOT NULL")
-    # segments repeat much, so they are made distinct before they are looked at, masked and cut
-    whole = segs.select((F.col("back") == 0).alias("last"), F.regexp_replace("s", "[0-9]+", "0").alias("s")).distinct()
+    # segments repeat much, so they are made distinct before they are looked at, masked and cut; written, as the optimiser
+    # takes the first of two distincts away
+    whole = materialise(segs.select((F.col("back") == 0).alias("last"), F.regexp_replace("s", "[0-9]+", "0").alias("s")).distinct(), "whole-segments")
     whole = whole.where(~F.col("last") | F.col("s").rlike(TERMINAL) & ~F.col("s").rlike(CUT_MARK)).select("s").distinct()
     whole = whole.select(F.split(F.regexp_replace(_masked(F.col("s")), r"^\s+|\s+$", ""), " ").alias("ws")).distinct()
     step = lambda acc, w: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), w)))
