@@ -219,6 +219,12 @@ def _shared(votes: DataFrame, sizes: DataFrame, path: str, count: str, more: lis
     return v.join(pooled, path).where((share >= SHARE) | (F.col("pooled") >= SHARE) & (F.col(count) / F.col("pages") >= SHARE / 2)).select("host", F.col(path).alias("path"), *more)
 
 
+def _settled(rows: DataFrame, *kept: str, **made: Column) -> DataFrame:
+    """The columns kept and made, through a generator of one row: the optimiser would else write what is made out again
+    inside each lambda that reads it, once for each line."""
+    return rows.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("_made")).select(*kept, "_made.*")
+
+
 def extracted(paths: DataFrame, winners: DataFrame) -> DataFrame:
     """src_doc_id, text and out, the numbers of the lines that aren't part of the body.
 
@@ -226,12 +232,12 @@ def extracted(paths: DataFrame, winners: DataFrame) -> DataFrame:
     """
     some = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = paths.withColumn("salt", F.pmod(F.xxhash64("src_doc_id"), F.lit(SALTS)).cast("int")).join(some, ["host", "salt"], "left")
-    rows = rows.select("src_doc_id", "text", F.arrays_zip("no", "exact", "two", "bits").alias("lines"), *[F.coalesce(c, F.array().cast("array<bigint>")).alias(c) for c in _KINDS])
     bit = lambda x, b: x["bits"].bitwiseAND(F.lit(b).cast("tinyint")) != 0
+    rows = _settled(rows, "src_doc_id", "text", lines=F.arrays_zip("no", "exact", "two", "bits"), **{c: F.coalesce(c, F.array().cast("array<bigint>")) for c in _KINDS})
     either = lambda c, x: F.array_contains(c, x["exact"]) | F.array_contains(c, x["two"])
     closes = lambda x: bit(x, CLOSING) & F.when(bit(x, LOST), either("lost_closing", x)).otherwise(F.array_contains("closing", x["exact"]) | F.array_contains("closing_two", x["two"]))
-    rows = rows.withColumn("titles", F.exists("lines", lambda x: bit(x, TITLE)))
-    rows = rows.withColumn("end", F.coalesce(F.get(F.filter("lines", closes), F.lit(0))["no"], F.lit(2_147_483_647)))
+    end = F.coalesce(F.get(F.filter("lines", closes), F.lit(0))["no"], F.lit(2_147_483_647))
+    rows = _settled(rows, "src_doc_id", "text", "lines", "strewn", "titled", "opening", "lost_out", titles=F.exists("lines", lambda x: bit(x, TITLE)), end=end)
     strewn = lambda x: F.array_contains("strewn", x["exact"]) | F.array_contains("titled", x["two"]) | ~F.col("titles") & F.array_contains("opening", x["exact"])
     goes = lambda x: bit(x, BEFORE) | (x["no"] >= F.col("end")) | bit(x, ENCLOSED | CLOSING) & F.when(bit(x, LOST), either("lost_out", x)).otherwise(strewn(x))
     out = F.transform(F.filter("lines", goes), lambda x: x["no"])
