@@ -1,6 +1,6 @@
 """One form for text that looks the same.
 
-A quick check, one character class, finds the segments that a canonical form could change; only those are normalised,
+A quick check by Unicode's own properties, behind a coarse character class, finds the segments that a canonical form could change; only those are normalised,
 with the character before them as context, as a mark or a final consonant joins it, and put back into the unchanged
 rest. Invisible signs are dropped, blanks become a space, widths and fonts are folded, look-alike letters become Latin
 ones, and what is left is composed. Enclosed digits, fractions and units stay, as they look different; no letter
@@ -22,16 +22,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 LOOKALIKES = {
     "АВЕЅІЈКМНОРСТУХҮԌԚԜѴ": "ABESIJKMHOPCTYXYGQWV", "авесіјорсухѕԁһԛԝѵӏ": "aвecijopcyxsdhqwvl",
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ": "ABEZHIKMNOPTYXCj", "αινορυγϲ": "aivopuyc", "ɑɡıⲞⲟ": "agiOo",
+    "ՍՕօոսհցզ": "UOonuhgq", "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃᎽ": "ABCDEGHJKLMPRSTVWZY", "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",
 }
 #: Signs that look like a common one.
 SIGNS = {
     "-": "‐‑‒–﹘⁃˗−➖﹣－", "·": "·•‧∙⋅・･ㆍᆞ᛫", "~": "∼～〜˜⁓", "'": "‘’‛′ʹʼˈ＇", '"': "“”‟″〝〞＂", ":": "：∶꞉︰ː", ",": "‚，", ".": "․．", "/": "⁄∕／", "*": "∗＊", "|": "∣｜ǀ", "<": "‹＜", ">": "›＞", "○": "◯⚪",
 }
-#: A text without any of these is canonical: all but line ends, ASCII, Hangul syllables, the middle dot and some common signs.
-UNSTABLE = r"[^\n -~가-힣·○●□■▲▼△※㎡ⓒ©「」『』①-⓿]"
-_SEGMENT = regex.compile(r"[\s\S]?" + UNSTABLE + "+")
-
-
 @lru_cache(maxsize=1)
 def table() -> dict[int, str | None]:
     """What each sign becomes; a rule over Unicode's own properties, and the fixed values."""
@@ -45,7 +41,7 @@ def table() -> dict[int, str | None]:
             out[code] = None
         elif kind == "Zs":
             out[code] = " "
-        elif (way := unicodedata.decomposition(c)).startswith(("<wide>", "<narrow>", "<font>")) or 0x2160 <= code < 0x2180 or 0x2E80 <= code < 0x2FE0 or way and way[0] != "<" and " " not in way:
+        elif (way := unicodedata.decomposition(c)).startswith(("<wide>", "<narrow>", "<font>")) or 0x2160 <= code < 0x2180 or 0xFB00 <= code < 0xFB07 or 0x2E80 <= code < 0x2FE0 or way and way[0] != "<" and " " not in way:
             out[code] = unicodedata.normalize("NFKC", c)
     out[0x09] = " "
     for a, b in LOOKALIKES.items():
@@ -55,13 +51,40 @@ def table() -> dict[int, str | None]:
     return out
 
 
+@lru_cache(maxsize=1)
+def unstable() -> frozenset[str]:
+    """The quick check, from Unicode's properties: signs that the table changes, whose composed form is another, or that
+    may join with the sign before them (second parts of compositions, vowels and finals of Hangul)."""
+    codes = {c for c in table() if c >= 0x80 or c == 9} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    for code in range(0x80, sys.maxunicode + 1):
+        way = unicodedata.decomposition(chr(code))
+        if way and way[0] != "<":
+            codes.update(int(x, 16) for x in way.split()[1:])
+            if not unicodedata.is_normalized("NFC", chr(code)):
+                codes.add(code)
+    return frozenset(map(chr, codes))
+
+
+#: Wider than unstable(), but one class that patterns are quick with, in the JVM too: all but line ends, ASCII, Hangul
+#: syllables and common signs that are stable.
+COARSE = r"[^\n -~가-힣·○●□■▲▼△※㎡ⓒ©「」『』①-⓿]"
+_SEGMENT = regex.compile(r"[\s\S]?" + COARSE + "+")
+
+
+def _folded(m) -> str:
+    segment = m[0]
+    if unstable().isdisjoint(segment):
+        return segment
+    t = table()
+    # a fold may give a sign that another entry folds on, as width forms of look-alikes do
+    return unicodedata.normalize("NFC", segment.translate(t).translate(t))
+
+
 def canonical(text: str | None) -> str | None:
     """The canonical form; null stays null, and the form of a canonical text is the text."""
     if not text:
         return text
-    t = table()
-    # a fold may give a sign that another entry folds on, as width forms of look-alikes do
-    return _SEGMENT.sub(lambda m: unicodedata.normalize("NFC", m[0].translate(t).translate(t)), text)
+    return _SEGMENT.sub(_folded, text)
 
 
 def _canonical_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -77,7 +100,7 @@ def canonical_column(df: DataFrame, text: str, out: str, if_changed: bool = Fals
 
     if_changed: null where the form is the text itself.
     """
-    odd = F.col(text).rlike(UNSTABLE)
+    odd = F.col(text).rlike(COARSE)
     asked = df.withColumn(out, _UDF(F.when(odd, F.col(text))))
     same: Column = F.lit(None).cast("string") if if_changed else F.col(text)
     return asked.withColumn(out, F.when(odd & ~F.col(out).eqNullSafe(F.col(text)), F.col(out)).otherwise(same))

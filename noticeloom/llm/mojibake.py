@@ -22,11 +22,12 @@ SIGNS = "·※○●◎□■◇◆△▲▽▼▶▷◀◁☆★→←↑↓↔
 #: The most common syllables of Korean official prose.
 COMMON = "이다는의에을를가지고하기로은서한사업원신청자인대해정도시제나일어아보수공스여리있라부조상전주안요비용내구관그과만들전성연장중소경유무개발간분야동세계국민체선발표문교육생활상담회센터재단진흥청년창출접결통운영평심협약마감직무료등록번호출력매월당최총억천백십외확금임"
 #: Marks of a text that is worth a look: Latin letters with marks, Chinese signs, control codes, the replacement sign.
-SUSPECT = "[\u0080-\u009f¡¢À-ÿ一-鿿\uf900-\ufaff�쨌]"
-#: Repairs of texts that were garbled so many times.
+SUSPECT = "[\u0080-\u009f¡¢À-ÿ一-鿿\uf900-\ufaff�쨌]|[¡-¿]{2}|[клмн][Ђ-џ\u00a0-\u00bb‚-•–-›€™]|[｡-ﾟ]{2}"
+#: Repairs of texts that were garbled so many times; one that isn't sound then is marked.
 DEPTH = 3
 
 UTF8_LATIN, EUC_LATIN, EUC_GBK, UTF8_EUC, LOST = "utf-8 as cp1252", "cp949 as cp1252", "cp949 as gbk", "utf-8 as cp949", "lost"
+UTF8_CYRILLIC, EUC_KANA, DEEPER = "utf-8 as cp1251", "cp949 as shift_jis", "deeper"
 
 
 def _latin(raw: bytes, windows: bool) -> str:
@@ -48,6 +49,10 @@ def garbled_sequences() -> dict[str, dict[str, str]]:
         for windows in (True, False):
             if c:
                 out.setdefault(_latin(c.encode(), windows), {}).setdefault(UTF8_LATIN, c)
+    for c in hangul:
+        seen = c.encode().decode("cp1251", "ignore")
+        if len(seen) == 3:
+            out.setdefault(seen, {}).setdefault(UTF8_CYRILLIC, c)
     for c in dict.fromkeys([*hangul, *SIGNS, *kana, *hanja]):
         try:
             raw = c.encode("euc_kr")
@@ -56,6 +61,8 @@ def garbled_sequences() -> dict[str, dict[str, str]]:
         if len(raw) != 2:
             continue
         out.setdefault(_latin(raw, True), {}).setdefault(EUC_LATIN, c)
+        if "가" <= c <= "힣" and max(raw) < 0xE0:  # two half-width kana, where no byte begins a pair
+            out.setdefault(raw.decode("shift_jis"), {}).setdefault(EUC_KANA, c)
         seen = raw.decode("gbk", "replace")
         if len(seen) == 1 and "一" <= seen <= "鿿" and not "一" <= c <= "鿿":
             out.setdefault(seen, {}).setdefault(EUC_GBK, c)
@@ -163,7 +170,9 @@ def _sure(line: str, trusted: frozenset[str]) -> tuple[str, list[tuple[int, int,
     covered = sum(e - s for s, e, _ in utf)
     if any(e - s > 2 for s, e, _ in utf) and covered >= sum(e - s for s, e, _ in by_pair.get(EUC_LATIN, [])):
         return UTF8_LATIN, utf
-    for pair in (EUC_LATIN, EUC_GBK):
+    if by_pair.get(UTF8_CYRILLIC):  # no Cyrillic word has such three letters
+        return UTF8_CYRILLIC, by_pair[UTF8_CYRILLIC]
+    for pair in (EUC_LATIN, EUC_GBK, EUC_KANA):
         hits = by_pair.get(pair, [])
         if not hits:
             continue
@@ -179,7 +188,7 @@ def _sure(line: str, trusted: frozenset[str]) -> tuple[str, list[tuple[int, int,
 
 
 def repair_line(line: str, trusted: frozenset[str] = frozenset()) -> tuple[str, set[str]]:
-    """The line with the original put back, and the pairs of encodings that it was garbled by; LOST where signs are gone."""
+    """The line with the original put back, and the pairs of encodings that it was garbled by; LOST where signs are gone, DEEPER where it was garbled more than DEPTH times."""
     pairs: set[str] = set()
     for _ in range(DEPTH):
         pair, hits = _sure(line, trusted)
@@ -191,6 +200,9 @@ def repair_line(line: str, trusted: frozenset[str] = frozenset()) -> tuple[str,
             parts += [line[at:start], c]
             at = end
         line = "".join(parts) + line[at:]
+    else:
+        if _sure(line, trusted)[1]:
+            pairs.add(DEEPER)
     if "�" in line:
         pairs.add(LOST)
     elif len(_utf8_start().findall(line)) >= 2:
@@ -214,7 +226,7 @@ def repair_text(text: str | None) -> tuple[str | None, list[str], int, int]:
         return text, [], 0, 0
     lines, pairs, bad, lost = text.split("\n"), set(), 0, 0
     seen = {i: (line, *repair_line(line)) for i, line in enumerate(lines) if _SUSPECT.search(line)}
-    shown = frozenset(x for _, _, p in seen.values() for x in p if x in (EUC_LATIN, EUC_GBK))
+    shown = frozenset(x for _, _, p in seen.values() for x in p if x in (EUC_LATIN, EUC_GBK, EUC_KANA))
     for i, (line, fixed, p) in seen.items():
         lines[i], p = repair_line(line, shown) if shown else (fixed, p)
         pairs |= p

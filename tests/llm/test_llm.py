@@ -2,6 +2,7 @@ import random
 import unicodedata
 
 import pytest
+import regex
 
 from noticeloom.llm import canonical, mixing, mojibake, pages, pii, scans, tokens, truncation
 
@@ -18,6 +19,34 @@ def test_mojibake_round_trip(text, true, seen, times):
     assert (fixed, bool(pairs), lines, lost) == (text, True, 1, 0)
 
 
+def test_mojibake_restores_originals():
+    """Sentences garbled in each way must come back sign for sign."""
+    rng = random.Random(8)
+    words = "신청 기업은 사업계획서와 통장사본을 갖추어 온라인으로 제출해야 한다 지원금은 재료비에 쓸 수 있고 결과는 개별 안내한다".split()
+    ways = {
+        "utf-8 as cp1252": lambda t: mojibake._latin(t.encode(), True), "twice": lambda t: mojibake._latin(mojibake._latin(t.encode(), True).encode(), True),
+        "cp949 as cp1252": lambda t: mojibake._latin(t.encode("cp949"), True), "utf-8 as cp949": lambda t: t.encode().decode("cp949"), "utf-8 as cp1251": lambda t: t.encode().decode("cp1251"), "cp949 as gbk": lambda t: t.encode("cp949").decode("gbk"),
+    }
+    for way, garble in ways.items():
+        right = total = 0
+        for _ in range(200):
+            text = " ".join(rng.sample(words, 8))
+            try:
+                bad = garble(text)
+            except UnicodeError:
+                continue
+            total += 1
+            right += mojibake.repair_text(bad)[0] == text
+        assert total == 0 or right >= 0.97 * total, (way, right, total)
+    assert mojibake.repair_text("한국".encode("cp949").decode("shift_jis", "ignore"))[1] in ([], [mojibake.EUC_KANA])
+    deep = "가나다라"
+    for _ in range(mojibake.DEPTH + 1):
+        deep = mojibake._latin(deep.encode(), False)
+    assert mojibake.DEEPER in mojibake.repair_text(deep)[1]
+    for text in ("Привет, это комната №5 и ещё кофе", "ｶﾌｪ ﾃﾗｽ"):
+        assert mojibake.repair_text(text) == (text, [], 0, 0)
+
+
 def test_mojibake_leaves_correct_text():
     for text in ("São Paulo Zürich Malmö Hà Nội Besançon Café Lumière", "中小企業 株式會社 カフェ", "±5°C · © 2024", None, "", "가" * 100_000):
         assert mojibake.repair_text(text) == (text, [], 0, 0)
@@ -52,6 +81,11 @@ def test_canonical():
     assert c("ᄒ­ᅣᆼ락") == "향락" and c("한ü") == "한ü"
     assert c("①② ㎡ ½ ⓒ") == "①② ㎡ ½ ⓒ" and c("О0") != c("00") and c("가\n나") != c("가 나")
     assert c(None) is None and c("") == ""
+    assert c("ꓢꓳꓧꓳ ᎪᏴ ﬁn") == "SOHO AB fin" and c("각") == "각" and c("가\u11a8") == "각"
+    for code in [*range(0x80, 0x3000), *range(0xA000, 0xA500), *range(0xF900, 0x10000)]:
+        x = "가" + chr(code) + "a"
+        assert x[1] not in canonical.unstable() or regex.search(canonical.COARSE, x[1]), hex(code)
+        assert x[1] in canonical.unstable() or c(x) == x == unicodedata.normalize("NFC", x), hex(code)
     rng = random.Random(1)
     for _ in range(300):
         t = "".join(rng.choice("가나 a1·ㆍ​ＡΑӒ한①～-－") for _ in range(12))
