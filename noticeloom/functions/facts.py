@@ -70,3 +70,11 @@ def loose_date(text: Column) -> Column:
     p = r"((?:19|20)[0-9]{2})[-./년 ]{0,2}([0-9]{1,2})[-./월 ]{0,2}([0-9]{1,2})"
     y, m, d = (F.regexp_extract(text, p, i) for i in (1, 2, 3))
     return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+
+
+def registered(record: Column) -> Column:
+    """The day a domain was registered, out of a registry's JSON (its registration event) or text record; null where neither says."""
+    events = F.from_json(record, "events array<struct<eventAction:string,eventDate:string>>")["events"]
+    event = F.get(F.filter(events, lambda e: e["eventAction"] == "registration"), F.lit(0))["eventDate"]
+    said = F.regexp_extract(record, r"(?i)(?:registered date|creation date|created)\s*:\s*([0-9]{4}[-./] ?[0-9]{2}[-./] ?[0-9]{2})", 1)
+    return F.try_to_date(F.coalesce(F.substring(event, 1, 10), F.regexp_replace(said, "[./] ?", "-")), "yyyy-MM-dd")

@@ -32,6 +32,34 @@ def assembled(extractions: DataFrame, source_documents: DataFrame, contacts: Dat
     return tx.publishable_record(brief)
 
 
+def advice(extractions: DataFrame, source_documents: DataFrame) -> DataFrame:
+    """extraction_id, ord, segment and advice of each verified requirement that has any."""
+    x = extractions.groupBy("extraction_id").agg(F.min_by(F.struct("requirements"), F.xxhash64("notice_id", "overview")).alias("e"))
+    rows = x.select("extraction_id", F.posexplode("e.requirements").alias("ord", "r")).select("extraction_id", "ord", F.explode("r.branch_advice").alias("segment", "advice"))
+    good = checks.section_verdicts(extractions, source_documents).where("section = 'requirements' AND verified").select("extraction_id", "ord")
+    return rows.join(good, ["extraction_id", "ord"])
+
+
+#: Rules in order: what the place begins with, and how many of such places are asked about.
+INQUIRIES, MOST = (("overview.apply_end", 1), ("overview.amount_max_krw", 1), ("requirements[", 3), ("documents[", 2)), 8
+
+
+def inquiries(verified: DataFrame) -> DataFrame:
+    """extraction_id and places to ask about: the held ones by rule, at most so many a rule and MOST in all."""
+    number = lambda h: F.coalesce(F.regexp_extract(h, r"\[([0-9]+)\]", 1).try_cast("int"), F.lit(0))
+    one = lambda start, n: F.slice(F.transform(F.array_sort(F.transform(F.filter("held", lambda h: h.startswith(start)), lambda h: F.struct(number(h).alias("n"), h.alias("h")))), lambda x: x["h"]), 1, n)
+    places = F.slice(F.concat(*[one(start, n) for start, n in INQUIRIES]), 1, MOST)
+    return verified.select("extraction_id", places.alias("places")).where(F.size("places") > 0)
+
+
+def for_agents() -> Column:
+    """A row of assembled as text for a program that must not take it for orders: no contacts, quotes numbered and apart."""
+    quotes = F.transform(F.filter(F.flatten(F.array(*SECTIONS)), lambda r: r["verified"]), lambda r: r["quote"])
+    parts = [F.when(F.size(s) > 0, F.concat(F.lit(f"{HEADINGS[s]}\n"), F.array_join(F.transform(s, lambda r: F.concat(F.lit("- "), r["shown"], F.when(~r["verified"], UNVERIFIED).otherwise(""))), "\n"))) for s in SECTIONS]
+    data = F.when(F.size(quotes) > 0, F.concat(F.lit("<quotes>\n"), F.array_join(F.transform(quotes, lambda q, i: F.concat((i + 1).cast("string"), F.lit(". "), q)), "\n"), F.lit("\n</quotes>")))
+    return F.concat_ws("\n\n", F.coalesce("overview.title", F.lit("")), *parts, data)
+
+
 def markdown() -> Column:
     """The Markdown of a row of assembled; a section without items is left out, requirements are never."""
     o = F.col("overview")

@@ -130,3 +130,10 @@ def first_texts(source_documents: DataFrame, documents: int, signs: int) -> Data
     d = source_documents.where("text IS NOT NULL AND notice_id IS NOT NULL").groupBy("src_doc_id").agg(F.min(F.struct("notice_id", "doc_ord", F.substring("text", 1, signs).alias("text"))).alias("d"))
     all_ = d.groupBy("d.notice_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d.doc_ord", "src_doc_id", "d.text"))), F.lit(1), F.lit(documents)).alias("x"))
     return all_.select("notice_id", F.size("x").alias("n_docs"), F.array_join(F.transform("x", lambda r: r["text"]), "\n").alias("text"))
+
+
+def changed_since(rows: DataFrame, key: str, at: str, since: str, *columns: str) -> DataFrame:
+    """key, columns and at of the newest row of each key that came in after a moment; of equally new ones the smallest."""
+    newest = rows.where(F.col(at) > F.lit(since).cast("timestamp")).groupBy(key).agg(F.max(F.col(at)).alias("_newest"))
+    same = rows.join(newest, key).where(F.col(at) == F.col("_newest"))
+    return same.groupBy(key).agg(F.min(F.struct(*columns, at)).alias("_r")).select(key, "_r.*")

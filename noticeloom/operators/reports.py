@@ -102,3 +102,14 @@ def distinct_labels(df: DataFrame, labels: str) -> DataFrame:
 
 def ranked(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
+
+
+def seeded_sample(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """n rows in the order of a hash of seed and key, so the same seed gives the same rows."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def violations(df: DataFrame, keys: list[str], rules: dict[str, Column], most: int = 5) -> DataFrame:
+    """keys and the names of the first constraints that each row breaks; a rule that is null isn't broken."""
+    broken = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda x: x.isNotNull())
+    return df.select(*keys, F.slice(broken, 1, most).alias("violations"))

@@ -707,6 +707,121 @@ def briefs(spark: SparkSession, root: str) -> DataFrame:
     return b.select("extraction_id", "quotes_total", "quotes_passed", "held", brief.markdown().alias("markdown"))
 
 
+_PROBES = ("http://127.0.0.1/a", "https://a.internal/", "ftp://a.example/", "https://u:p@a.example/", "https://a.example/x", "http://100.64.0.1/", "http://172.32.0.1/", "http://172.16.9.9/", "https://LOCALHOST/", "https://198.51.100.7/", "https://224.0.0.1/", "nonsense")
+
+
+@query(f"""
+WITH u AS (SELECT unnest([{", ".join(_QUOTED(x) for x in _PROBES)}]) AS url UNION SELECT url FROM notices WHERE url IS NOT NULL), h AS (SELECT url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@\\[\\]]+)', 1)), '\\.$', '') AS host FROM u)
+SELECT url, NOT regexp_matches(url, '(?i)^https?://') OR regexp_matches(url, '^[^/]*//[^/?#]*@') OR host = '' OR host = 'localhost' OR regexp_matches(host, '\\.(localhost|local|internal)$') OR regexp_matches(host, '{urls.PRIVATE_V4}') AS blocked FROM h
+""")
+def blocked_urls(spark: SparkSession, root: str) -> DataFrame:
+    """Which addresses a fetch must refuse, of the notices' and of some that no fetch may reach."""
+    u = spark.createDataFrame([(x,) for x in _PROBES], "url string").union(table(spark, root, "notices").where("url IS NOT NULL").select("url")).distinct()
+    return u.select("url", urls.blocked(F.col("url")).alias("blocked"))
+
+
+_REPLIES = ('text {"a": {"b": 1}} end', "none", "```json\n{}\n```", None, "} {", "x" * 90 + "  y\n z")
+
+
+@query(f"""
+WITH t AS (SELECT unnest([{", ".join(_QUOTED(x) for x in _REPLIES)}]) AS t UNION SELECT title FROM documents), c AS (SELECT t, trim(regexp_replace(t, '[\\s\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x0b]+', ' ', 'g')) AS line FROM t)
+SELECT t, nullif(regexp_extract(t, '(?s)\\{{.*\\}}'), '') AS json_part, CASE WHEN length(line) > 60 THEN substring(line, 1, 59) || '…' ELSE line END AS line,
+  lower(regexp_replace({_nfkc_sql('t')}, '[\\s\\x{{0085}}\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x0b]+', '', 'g')) AS compact FROM c
+""")
+def text_forms(spark: SparkSession, root: str) -> DataFrame:
+    """The JSON in replies, texts on one line, and compact texts, of titles and of a few replies."""
+    t = spark.createDataFrame([(x,) for x in _REPLIES], "t string").union(table(spark, root, "documents").select("title")).distinct()
+    return tx.with_nfkc(t, "t", "n").select("t", tx.json_part(F.col("t")).alias("json_part"), tx.one_line(F.col("t"), 60).alias("line"), tx.compact_form(F.col("n")).alias("compact"))
+
+
+_FILES = (("a.pdf", "255044462D"), ("b", "89504E470D0A1A0A"), ("c.jpg", "FFD8FFE0"), ("d.hwp", "D0CF11E0A1B11AE1"), ("e.docx", "504B0304"), ("f.hwpx", "504B0304"), ("g.ZIP", "504B0304"), ("h", "504B0304"), ("i.txt", "EAB080"), ("j", ""))
+
+
+@query(f"SELECT name, CASE WHEN h LIKE '25504446%' THEN 'pdf' WHEN h LIKE '89504E47%' OR h LIKE 'FFD8FF%' THEN 'image' WHEN h LIKE 'D0CF11E0A1B11AE1%' THEN 'hwp' WHEN h LIKE '504B%' THEN CASE WHEN lower(name) LIKE '%.docx' THEN 'docx' WHEN regexp_matches(lower(name), '\\.(zip|xlsx|pptx)$') THEN 'archive' ELSE 'hwpx' END ELSE 'text' END AS kind FROM (VALUES {', '.join(f'''({_QUOTED(n)}, '{h}')''' for n, h in _FILES)}) AS v(name, h)")
+def file_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """Kinds of files by their first bytes and names."""
+    f = spark.createDataFrame([(n, bytes.fromhex(h)) for n, h in _FILES], "name string, content binary")
+    return f.select("name", containers.sniffed(F.col("content"), F.col("name")).alias("kind"))
+
+
+@query(r"""
+WITH d AS (SELECT extraction_id, unnest(range(len(schedule))) AS ord, unnest(schedule).date_text AS t FROM (SELECT DISTINCT extraction_id, schedule FROM extractions)), g AS (SELECT *, regexp_extract(t, '((?:19|20)[0-9]{2})[-./년 ]{0,2}([0-9]{1,2})[-./월 ]{0,2}([0-9]{1,2})', ['y', 'm', 'd']) AS p FROM d WHERE t IS NOT NULL)
+SELECT extraction_id, CAST(ord AS INT) AS ord, t AS date_text, CAST(try_strptime(CASE WHEN p.y <> '' THEN p.y || '-' || lpad(p.m, 2, '0') || '-' || lpad(p.d, 2, '0') END, '%Y-%m-%d') AS DATE) AS day FROM g
+""")
+def loose_dates(spark: SparkSession, root: str) -> DataFrame:
+    """The first day that each schedule entry names, loosely read."""
+    e = table(spark, root, "extractions").select("extraction_id", "schedule").distinct().select("extraction_id", F.posexplode("schedule").alias("ord", "s")).where("s.date_text IS NOT NULL")
+    return e.select("extraction_id", "ord", F.col("s.date_text").alias("date_text"), facts.loose_date(F.col("s.date_text")).alias("day"))
+
+
+@query(_VERIFIED_SQL + """, a AS (SELECT extraction_id, CAST(ord AS INT) AS ord, unnest(map_entries(m)) AS e FROM (SELECT extraction_id, unnest(requirements).branch_advice AS m, unnest(range(len(requirements))) AS ord FROM x) WHERE m IS NOT NULL)
+SELECT a.extraction_id, a.ord, e.key AS segment, e.value AS advice FROM a JOIN sv ON sv.extraction_id = a.extraction_id AND sv.section = 'requirements' AND sv.ord = a.ord WHERE sv.verified""")
+def requirement_advice(spark: SparkSession, root: str) -> DataFrame:
+    """The advice that goes with each verified requirement, by its place."""
+    e, docs = tables(spark, root, "extractions", "source_documents")
+    return brief.advice(e, docs)
+
+
+@query(_VERIFIED_SQL + """, k AS (SELECT extraction_id, h, CASE WHEN h = 'overview.apply_end' THEN 1 WHEN h = 'overview.amount_max_krw' THEN 2 WHEN h LIKE 'requirements[%' THEN 4 WHEN h LIKE 'documents[%' THEN 5 END AS rule, CAST(coalesce(nullif(regexp_extract(h, '\\[([0-9]+)\\]', 1), ''), '0') AS INT) AS n FROM (SELECT extraction_id, unnest(held) AS h FROM w)),
+r AS (SELECT *, row_number() OVER (PARTITION BY extraction_id, rule ORDER BY n) AS i FROM k WHERE rule IS NOT NULL)
+SELECT extraction_id, list_slice(list(h ORDER BY rule, n), 1, 8) AS places FROM r WHERE i <= CASE rule WHEN 4 THEN 3 WHEN 5 THEN 2 ELSE 1 END GROUP BY 1""")
+def inquiry_places(spark: SparkSession, root: str) -> DataFrame:
+    """What to ask about: held places by rule, at most so many a rule and eight in all."""
+    return brief.inquiries(verification(spark, root))
+
+
+@query("SELECT notice_id, title, epoch_us(ingested_at) AS ingested_us FROM (SELECT DISTINCT notice_id, title, ingested_at FROM notices WHERE ingested_at > TIMESTAMP '2025-01-01') n WHERE ingested_at = (SELECT max(ingested_at) FROM notices m WHERE m.notice_id = n.notice_id) AND coalesce(title, '') = (SELECT min(coalesce(title, '')) FROM notices m WHERE m.notice_id = n.notice_id AND m.ingested_at = n.ingested_at)")
+def changed_notices(spark: SparkSession, root: str) -> DataFrame:
+    """The newest copy of each notice that came in after a moment."""
+    return collection.changed_since(table(spark, root, "notices"), "notice_id", "ingested_at", "2025-01-01 00:00:00", "title").select("notice_id", "title", F.unix_micros("ingested_at").alias("ingested_us"))
+
+
+@query("SELECT doc_id FROM (SELECT DISTINCT doc_id FROM documents) ORDER BY md5('17:' || doc_id), doc_id LIMIT 50")
+def seeded_sample(spark: SparkSession, root: str) -> DataFrame:
+    """Fifty documents, the same ones for the same seed."""
+    return reports.seeded_sample(table(spark, root, "documents").select("doc_id").distinct(), "doc_id", 17, 50)
+
+
+_RECORDS = (
+    '{"events":[{"eventAction":"last changed","eventDate":"2024-05-01T00:00:00Z"},{"eventAction":"registration","eventDate":"2020-03-02T10:00:00Z"}]}',
+    '{"events":[]}', "Domain: a.kr\nRegistered Date : 2019. 07. 08.\n", "Creation Date: 2018-01-02T03:04:05Z", "no date", None,
+)
+
+
+@query(f"""
+WITH r AS (SELECT unnest([{", ".join(_QUOTED(x) for x in _RECORDS)}]) AS t),
+d AS (SELECT t, coalesce(nullif(regexp_extract(t, '"eventAction":"registration","eventDate":"([0-9-]{{10}})', 1), ''), nullif(regexp_replace(regexp_extract(t, '(?i)(?:registered date|creation date|created)\\s*:\\s*([0-9]{{4}}[-./] ?[0-9]{{2}}[-./] ?[0-9]{{2}})', 1), '[./] ?', '-', 'g'), '')) AS x FROM r)
+SELECT t, CAST(x AS DATE) AS registered, date_diff('day', CAST(x AS DATE), DATE '2025-06-01') AS age_days FROM d
+""")
+def domain_ages(spark: SparkSession, root: str) -> DataFrame:
+    """When domains were registered, out of registry records, and their age."""
+    r = spark.createDataFrame([(x,) for x in _RECORDS], "t string")
+    day = facts.registered(F.col("t"))
+    return r.select("t", day.alias("registered"), F.date_diff(F.lit("2025-06-01").cast("date"), day).cast("bigint").alias("age_days"))
+
+
+_RULES_SQL = ("CASE WHEN overview.title IS NULL OR length(overview.title) > 200 THEN 'title' END", "CASE WHEN confidence IS NULL OR confidence < 0 OR confidence > 1 THEN 'confidence' END", "CASE WHEN overview.amount_max_krw < 0 THEN 'amount' END", "CASE WHEN coalesce(len(requirements), 0) = 0 THEN 'requirements' END", "CASE WHEN overview.apply_end IS NOT NULL AND NOT regexp_matches(overview.apply_end, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN 'apply_end' END", "CASE WHEN coalesce(len(schedule), 0) > 4 THEN 'schedule' END")
+
+
+@query(f"SELECT DISTINCT extraction_id, list_slice(list_filter([{', '.join(_RULES_SQL)}], lambda z: z IS NOT NULL), 1, 5) AS violations FROM extractions")
+def record_violations(spark: SparkSession, root: str) -> DataFrame:
+    """The first five constraints that a record breaks."""
+    o = "overview."
+    rules = {
+        "title": F.col(o + "title").isNull() | (F.length(o + "title") > 200), "confidence": F.col("confidence").isNull() | (F.col("confidence") < 0) | (F.col("confidence") > 1), "amount": F.col(o + "amount_max_krw") < 0,
+        "requirements": F.coalesce(F.size("requirements"), F.lit(0)) <= 0, "apply_end": ~F.col(o + "apply_end").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), "schedule": F.size("schedule") > 4,
+    }
+    return reports.violations(table(spark, root, "extractions"), ["extraction_id"], rules).distinct()
+
+
+@query("SELECT extraction_id, apply_end FROM (SELECT DISTINCT extraction_id, overview.apply_end AS apply_end FROM extractions) ORDER BY CASE WHEN regexp_matches(apply_end, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN apply_end ELSE '9999-12-31' END, extraction_id LIMIT 20")
+def next_deadlines(spark: SparkSession, root: str) -> DataFrame:
+    """Twenty extractions by deadline, those without an ISO date last."""
+    e = table(spark, root, "extractions").select("extraction_id", F.col("overview.apply_end").alias("apply_end")).distinct()
+    day = F.when(F.col("apply_end").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), F.col("apply_end")).otherwise("9999-12-31")
+    return reports.ranked(e, [day.asc(), F.asc("extraction_id")], 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -56,6 +56,10 @@ def test_value_and_section_verdicts(spark):
     contacts = spark.createDataFrame([(7, ["02-1", None], None), (7, ["02-1"], ["a@b"])], "notice_id bigint, phones array<string>, emails array<string>")
     text = briefs.assembled(df, docs, contacts).select(briefs.markdown().alias("m")).first()["m"]
     assert text.startswith("# 공고\n\n**지원금: 최대 5,000만원** · **규모: 20개사** · **마감: 2026-08-14**\n\n## 자격 요건\n- a\n  > \"신청은 2026\"\n- b ⚠(원문 확인 필요)") and "- 02-1, a@b" in text and text.endswith("인용 검증 3/6 통과 · 보류 4건")
+    apart = briefs.assembled(df, docs, contacts).select(briefs.for_agents().alias("t")).first()["t"]
+    assert "02-1" not in apart and apart.endswith("<quotes>\n1. 신청은 2026\n</quotes>") and "- b ⚠(원문 확인 필요)" in apart
+    assert briefs.inquiries(checks.verification(df, docs)).first()["places"] == ["overview.amount_max_krw", "requirements[1]"]
+    assert briefs.advice(df, docs).collect() == []
     shown = spark.createDataFrame([(text,)], "t string").select(briefs.terminal(F.col("t"))).first()[0]
     assert "━━━ 공고 ━━━" in shown and "\n■ 자격 요건" in shown
     assert checks.verification(df.limit(0), docs).collect() == []
