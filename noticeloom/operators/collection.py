@@ -137,3 +137,14 @@ def changed_since(rows: DataFrame, key: str, at: str, since: str, *columns: str)
     newest = rows.where(F.col(at) > F.lit(since).cast("timestamp")).groupBy(key).agg(F.max(F.col(at)).alias("_newest"))
     same = rows.join(newest, key).where(F.col(at) == F.col("_newest"))
     return same.groupBy(key).agg(F.min(F.struct(*columns, at)).alias("_r")).select(key, "_r.*")
+
+
+def poster_candidates(documents: DataFrame, images: DataFrame, under: int = 400, most: int = 2) -> DataFrame:
+    """notice_id, url and place of the first images (notice_id, ord, url) of notices whose documents (notice_id, n_chars) are thin.
+
+    A notice with images but no document at all is thin too. Repeated images count once, null addresses are left out.
+    """
+    sums = documents.groupBy("notice_id").agg(F.sum("n_chars").alias("all"))
+    thin = images.where("url IS NOT NULL AND notice_id IS NOT NULL").groupBy("notice_id", "url").agg(F.min("ord").alias("ord")).join(sums, "notice_id", "left").where(F.coalesce("all", F.lit(0)) < under)
+    lists = thin.groupBy("notice_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "url"))), 1, most).alias("x"))
+    return lists.select("notice_id", F.posexplode("x").alias("place", "i")).select("notice_id", "i.url", "place")

@@ -822,6 +822,19 @@ def next_deadlines(spark: SparkSession, root: str) -> DataFrame:
     return reports.ranked(e, [day.asc(), F.asc("extraction_id")], 20)
 
 
+@query("""
+WITH s AS (SELECT notice_id, sum(coalesce(length(text), 0)) AS n FROM (SELECT DISTINCT src_doc_id, notice_id, text FROM source_documents WHERE kind <> 'image') GROUP BY 1),
+i AS (SELECT notice_id, url, min(doc_ord) AS o FROM source_documents WHERE kind = 'image' AND url IS NOT NULL AND notice_id IS NOT NULL GROUP BY 1, 2),
+k AS (SELECT i.*, row_number() OVER (PARTITION BY i.notice_id ORDER BY o, url) - 1 AS place FROM i LEFT JOIN s ON s.notice_id = i.notice_id WHERE coalesce(n, 0) < 900)
+SELECT notice_id, url, CAST(place AS INT) AS place FROM k WHERE place < 2
+""")
+def poster_candidates(spark: SparkSession, root: str) -> DataFrame:
+    """The images worth reading of notices with little other text."""
+    d = table(spark, root, "source_documents").select("src_doc_id", "notice_id", "doc_ord", "url", "kind", "text").distinct()
+    texts = d.where("kind <> 'image'").select("notice_id", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
+    return collection.poster_candidates(texts, d.where("kind = 'image'").select("notice_id", F.col("doc_ord").alias("ord"), "url"), under=900)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -235,7 +235,18 @@ def hwp_text(raw: bytes) -> str:
     return "\n".join(hwp_section_text(inflate(streams[n]) if flags & 1 else streams[n]) for n in names)
 
 
-READERS = {"docx": docx_text, "hwpx": hwpx_text, "hwp": hwp_text, "text": decoded}
+def zip_text(raw: bytes) -> str:
+    """Of a container whose name doesn't tell, the sections of the one format, else the document of the other."""
+    try:
+        return hwpx_text(raw)
+    except ValueError as first:
+        try:
+            return docx_text(raw)
+        except ValueError:
+            raise first from None
+
+
+READERS = {"docx": docx_text, "hwpx": zip_text, "hwp": hwp_text, "text": decoded}
 
 
 def read_files(files: DataFrame, extra: dict | None = None) -> DataFrame:
@@ -270,6 +281,7 @@ def url_list(lines: DataFrame) -> DataFrame:
     return lines.select(F.trim("value").alias("url")).where((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
-def sitemap_urls(pages: DataFrame, xml: str, path: str) -> DataFrame:
-    """url of each <loc> under a path of sitemaps."""
-    return pages.select(F.explode(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url")).where(F.contains("url", F.lit(path)))
+def sitemap_urls(pages: DataFrame, xml: str, path: str, but: str | None = None) -> DataFrame:
+    """url of each <loc> under a path of sitemaps, without those that a pattern (of listings, say) matches."""
+    found = pages.select(F.explode(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1))).alias("url")).where(F.contains("url", F.lit(path)))
+    return found if but is None else found.where(~F.col("url").rlike(but))

@@ -149,6 +149,10 @@ def test_lists_and_links(spark):
     assert [r["url"] for r in containers.url_list(rows).collect()] == ["https://a.example/1"]
     pages = spark.createDataFrame([("<loc> https://a.example/list/1 </loc><loc>https://a.example/b</loc>",), (None,)], "xml string")
     assert [r["url"] for r in containers.sitemap_urls(pages, "xml", "/list/").collect()] == ["https://a.example/list/1"]
+    assert [r["url"] for r in containers.sitemap_urls(pages, "xml", "/", "/list/").collect()] == ["https://a.example/b"]
+    assert containers.zip_text(zipped(word__document_DOT_xml="<w:p><w:t>가</w:t></w:p>")) == "가"
+    with pytest.raises(ValueError, match="no section"):
+        containers.zip_text(zipped(other=""))
     links = spark.createDataFrame([("k", "https://a/xx"), ("k", "https://a/?b"), ("k", "https://a/?a"), ("k", None)], "k string, url string")
     assert [tuple(r) for r in collection.best_link(links, "k").collect()] == [("k", "https://a/?a")]
 
