@@ -10,7 +10,6 @@ other in these vowels. All of it is Spark expressions; vocabulary, pairs and ver
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -94,7 +93,8 @@ def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["f", "u"], dtype="object")
 
 
-folded = F.pandas_udf(_fold, T.StructType([T.StructField("f", T.StringType()), T.StructField("u", T.StringType())]))
+#: Declared as not deterministic, as the optimiser would else move a join's check for nulls down to every single word.
+folded = F.pandas_udf(_fold, T.StructType([T.StructField("f", T.StringType()), T.StructField("u", T.StringType())])).asNondeterministic()
 
 
 def with_fold(df: DataFrame) -> DataFrame:
@@ -136,13 +136,28 @@ _SAYS_PAGE = regex.compile(r"[Pp]age|[Pp]\.|쪽|^[-–‐]")
 MISSED = 3
 
 
+def _in_common(a: str, b: str) -> int:
+    """Signs that both have, each as often as in both."""
+    counts: dict[str, int] = {}
+    for c in a:
+        counts[c] = counts.get(c, 0) + 1
+    n = 0
+    for c in b:
+        if k := counts.get(c):
+            counts[c] = k - 1
+            n += 1
+    return n
+
+
 def _near(a: str, b: str, limit: int) -> bool:
     """Whether at most limit signs must change."""
+    if a == b:
+        return True
     if abs(len(a) - len(b)) > limit:
         return False
     if len(a) == len(b) and sum(map(str.__ne__, a, b)) <= limit:
         return True
-    if max(len(a), len(b)) - sum((Counter(a) & Counter(b)).values()) > limit:  # no order of the signs can be near enough
+    if max(len(a), len(b)) - _in_common(a, b) > limit:  # no order of the signs can be near enough
         return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -260,10 +275,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(clean: DataFrame) -> DataFrame:
     """Neighbouring words of texts that weren't scanned: m, m2 (null at a line's end) and n, digits masked."""
-    lines = clean.select(F.explode(F.split("text", "\n")).alias("line")).groupBy(masked(F.col("line")).alias("line")).count()
+    # outer, as the optimiser would cut once more to see whether a generator gives rows
+    lines = clean.select(F.explode_outer(F.split("text", "\n")).alias("line")).groupBy(masked(F.col("line")).alias("line")).count()
     # lines repeat much in a corpus, so they are counted before they are cut
     ws = lines.select("count", F.filter(F.split("line", r"(?U)\s+"), lambda w: w != "").alias("ws"))
-    pairs = ws.select("count", F.posexplode(F.arrays_zip(F.col("ws").alias("w"), F.slice("ws", 2, F.size("ws")).alias("v"))).alias("i", "p"))
+    pairs = ws.select("count", F.posexplode_outer(F.arrays_zip(F.col("ws").alias("w"), F.slice("ws", 2, F.size("ws")).alias("v"))).alias("i", "p"))
     return pairs.groupBy(F.col("p.w").alias("m"), F.col("p.v").alias("m2")).agg(F.sum("count").alias("n")).where("m IS NOT NULL")
 
 
