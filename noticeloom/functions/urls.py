@@ -53,16 +53,22 @@ def blocked(url: Column) -> Column:
 
 def tier(url: Column, public: tuple[str, ...] = PUBLIC, public_suffix: str = ".go.kr") -> Column:
     """tier1 for public bodies, tier3 for what looks like deceit, else tier2. public is a fixed policy list."""
-    h = host(url)
-    known = F.array(*map(F.lit, public))
-    domain, label = registrable(h), first_label(registrable(h))
-    trusted = h.endswith(public_suffix) | F.exists(known, lambda w: (h == w) | h.endswith(F.concat(F.lit("."), w)))
-    near = F.exists(
-        known,
-        lambda w: F.levenshtein(domain, w).between(1, 2) | (F.length(label) >= 5) & (F.length(first_label(w)) >= 5) & F.levenshtein(label, first_label(w)).between(1, 2),
-    )
+    known = F.array(*[F.struct(F.lit(w).alias("host"), F.lit(w.split(".")[0]).alias("label")) for w in public]).cast("array<struct<host:string,label:string>>")
     odd_port = port(url).isNotNull() & ~port(url).isin("80", "443")
-    return F.when(h.isNull() | is_ip(h) | h.rlike(r"(?:^|\.)xn--") | odd_port, "tier3").when(trusted, "tier1").when(near, "tier3").otherwise("tier2")
+
+    def near(x: Column) -> Column:
+        close = lambda w: F.levenshtein(x["domain"], w["host"]).between(1, 2) | (F.length(x["label"]) >= 5) & (F.length(w["label"]) >= 5) & F.levenshtein(x["label"], w["label"]).between(1, 2)
+        return F.exists(known, close)
+
+    def decide(x: Column) -> Column:
+        h = x["host"]
+        trusted = h.endswith(public_suffix) | F.exists(known, lambda w: (h == w["host"]) | h.endswith(F.concat(F.lit("."), w["host"])))
+        return F.when(h.isNull() | is_ip(h) | h.rlike(r"(?:^|\.)xn--") | odd_port, "tier3").when(trusted, "tier1").when(near(x), "tier3").otherwise("tier2")
+
+    # host, domain and label are made once, as lambdas' own values; outside they would be made again for each known host
+    hosts = F.transform(F.array(host(url)), lambda h: F.struct(h.alias("host"), registrable(h).alias("domain")))
+    parts = F.transform(hosts, lambda x: F.struct(x["host"].alias("host"), x["domain"].alias("domain"), first_label(x["domain"]).alias("label")))
+    return F.get(F.transform(parts, decide), F.lit(0))
 
 
 def sibling(url: Column) -> Column:

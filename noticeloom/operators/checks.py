@@ -40,6 +40,8 @@ def _bits(text: Column, patterns: tuple[str, ...]) -> Column:
     return sum((F.when(text.rlike(p), F.lit(1 << i)).otherwise(F.lit(0)) for i, p in enumerate(patterns[1:], 1)), F.when(text.rlike(patterns[0]), F.lit(1)).otherwise(F.lit(0)))
 
 
+#: The bits of ANNOUNCING that are signs of a notice's structure too; all of these are among them.
+_STRUCTURE_BITS = sum(1 << ANNOUNCING.index(p) for p in STRUCTURE)
 #: Signs of a text's edges that are kept to see what two texts make together; no pattern is longer without its blanks.
 EDGE = 12
 
@@ -47,28 +49,28 @@ EDGE = 12
 def document_signs(source_documents: DataFrame) -> DataFrame:
     """notice_id and docs: for each document, in order, what the rules need of it, so that no text is shuffled.
 
-    docs has doc_ord, src_doc_id, risk, announcing and structure (bits), listing (counts) and the text's edges without
+    docs has doc_ord, src_doc_id, risk, announcing (bits), listing (counts) and the text's edges without
     blanks. Repeated src_doc_id count once, of differing rows the smallest; null texts are left out.
     """
     t = F.col("text")
     signs = source_documents.where("text IS NOT NULL AND notice_id IS NOT NULL").select(
-        "notice_id", "src_doc_id", "doc_ord", risk(t).alias("risk"), _bits(t, ANNOUNCING).alias("announcing"), _bits(t, STRUCTURE).alias("structure"),
+        "notice_id", "src_doc_id", "doc_ord", risk(t).alias("risk"), _bits(t, ANNOUNCING).alias("announcing"),
         F.array(*[F.regexp_count(t, F.lit(p)) for p in LISTING]).alias("listing"), F.substring(F.ltrim(t, F.lit(" \t\n\r")), 1, EDGE).alias("head"), F.right(F.rtrim(t, F.lit(" \t\n\r")), F.lit(EDGE)).alias("tail"),
     )
     own = [c for c in signs.columns if c != "src_doc_id"]
     one = signs.groupBy("src_doc_id").agg(F.min(F.struct(*own)).alias("d")).select("src_doc_id", "d.*")
-    return one.groupBy("notice_id").agg(F.array_sort(F.collect_list(F.struct("doc_ord", "src_doc_id", "risk", "announcing", "structure", "listing", "head", "tail"))).alias("docs"))
+    return one.groupBy("notice_id").agg(F.array_sort(F.collect_list(F.struct("doc_ord", "src_doc_id", "risk", "announcing", "listing", "head", "tail"))).alias("docs"))
 
 
 def _together(docs: Column) -> dict[str, Column]:
-    """Of the documents' texts with line ends between: bits of announcing and structure, counts of listing."""
+    """Of the documents' texts with line ends between: bits of announcing, the largest count of listing."""
     seams = F.transform(F.slice(docs, F.lit(2), F.greatest(F.size(docs) - 1, F.lit(0))), lambda d, i: F.struct(F.get(docs, i)["tail"].alias("tail"), d["head"].alias("head")))
     both = F.transform(seams, lambda x: F.concat(x["tail"], F.lit("\n"), x["head"]))
-    either = lambda name, patterns: F.aggregate(F.concat(F.transform(docs, lambda d: d[name]), F.transform(both, lambda x: _bits(x, patterns))), F.lit(0), lambda a, x: a.bitwiseOR(x))
+    announcing = F.aggregate(F.concat(F.transform(docs, lambda d: d["announcing"]), F.transform(both, lambda x: _bits(x, ANNOUNCING))), F.lit(0), lambda a, x: a.bitwiseOR(x))
     across = lambda p: F.aggregate(seams, F.lit(0), lambda a, x: a + F.regexp_count(F.concat(x["tail"], F.lit("\n"), x["head"]), F.lit(p)) - F.regexp_count(x["tail"], F.lit(p)) - F.regexp_count(x["head"], F.lit(p)))
     total = lambda i: F.aggregate(docs, F.lit(0), lambda a, d: a + d["listing"][i])
     counts = [total(i) + across(p) for i, p in enumerate(LISTING)]
-    return {"announcing": either("announcing", ANNOUNCING), "structure": either("structure", STRUCTURE), "listing": F.greatest(*counts)}
+    return {"announcing": announcing, "listing": F.greatest(*counts)}
 
 
 def precheck(notices: DataFrame, source_documents: DataFrame, public: tuple[str, ...], age_days: DataFrame | None = None) -> DataFrame:
@@ -83,7 +85,7 @@ def precheck(notices: DataFrame, source_documents: DataFrame, public: tuple[str,
         n = n.withColumn("host", urls.host(F.col("url"))).join(age_days, "host", "left")
         young = F.coalesce(F.col("days") < NEW_DAYS, F.lit(False))
     n = n.withColumns(_together(F.col("docs"))).withColumn("first_risk", F.get("docs", F.lit(0))["risk"])
-    index = F.coalesce((F.bit_count("structure") <= MAX_STRUCTURE) & (F.col("listing") >= MIN_REPEATS), F.lit(False))
+    index = F.coalesce((F.bit_count(F.col("announcing").bitwiseAND(F.lit(_STRUCTURE_BITS))) <= MAX_STRUCTURE) & (F.col("listing") >= MIN_REPEATS), F.lit(False))
     reason = F.when(F.col("tier") == "tier3", "source").when(F.col("first_risk").isNotNull(), F.col("first_risk")).when((F.col("tier") == "tier2") & young, "new domain").when(index, "index page")
     fast = (F.col("tier") == "tier1") & (F.coalesce(F.bit_count("announcing"), F.lit(0)) >= MIN_HITS)
     verdict = F.when(reason.isNotNull(), "reject").when(fast, "pass_fast").otherwise("needs_llm")
