@@ -37,6 +37,8 @@ PAGE_NO = r"^\s*(?:[Pp]age\s*{d}|[Pp]\.\s*{d}|[-–‐]\s*{d}\s*[-–‐]|제\s*
 NUMBER_WORDS = "공고 제"
 #: Share of a header's signs that may differ, and signs of a line end that aren't a broken word.
 HEADER_NEAR = 0.34
+#: The same for lines that only their places at pages' edges show, as ends of sentences stand there too.
+RUNNING_NEAR = 0.2
 HYPHEN = regex.compile(r"(?<=[^\s|])[-‐‑]\s*$")
 
 
@@ -132,8 +134,8 @@ _PAGE_END = regex.compile(r"\s{2,}(?:[-–(\[〔]\s*)?[0-9OoIlSBZ]{1,3}(?:\s*/\s
 _NUMBER = fold(NUMBER_WORDS)
 _NUMBER_OF_PAGE = regex.compile("[0-9OoIlSBZ]{1,3}(?![A-Za-z])")
 _SAYS_PAGE = regex.compile(r"[Pp]age|[Pp]\.|쪽|^[-–‐]")
-#: Page numbers that may be missing between two.
-MISSED = 3
+#: Page numbers that may be missing between two, and lines that a page has at least.
+MISSED, PAGE_LINES = 3, 10
 
 
 def _in_common(a: str, b: str) -> int:
@@ -172,7 +174,8 @@ def _near(a: str, b: str, limit: int) -> bool:
 
 def _page_numbers(lines: list[str], full: list[int]) -> set[int]:
     """Lines that hold a page number alone: of its form, and numbers of one form go on from page to page, or the line is at
-    the text's edge or before the line that the text begins with, or says that it is a page."""
+    the text's edge or before the line that the text begins with, or says that it is a page, or is the only such line of
+    the text, a page's length from its start and between lines that are no cells."""
     shaped = [(i, _NUMBER_OF_PAGE.sub("#", lines[i].strip()), int(_NUMBER_OF_PAGE.search(lines[i])[0].translate(_tables()[0]))) for i in full if _PAGE_NO.match(lines[i])]
     if not shaped:
         return set()
@@ -182,7 +185,8 @@ def _page_numbers(lines: list[str], full: list[int]) -> set[int]:
     for k, (i, form, value) in enumerate(shaped):
         follows = any(f == form and 0 < abs(value - v) <= MISSED and (value > v) == (k > n) for n, (_, f, v) in enumerate(shaped) if n != k)
         edge = i in (full[0], full[-1]) or _near(fold(lines[after[i]].strip()), first, int(len(first) * HEADER_NEAR))
-        if follows or edge or _SAYS_PAGE.search(form):
+        alone = len(shaped) == 1 and full.index(i) >= PAGE_LINES and min(len(lines[j].strip()) for j in (full[full.index(i) - 1], after.get(i, i))) > 6
+        if follows or edge or alone or _SAYS_PAGE.search(form):
             out.add(i)
     return out
 
@@ -190,7 +194,7 @@ def _page_numbers(lines: list[str], full: list[int]) -> set[int]:
 def _running(lines: list[str], edges: list[int], body: list[int]) -> set[int]:
     """Lines at the same edge of several pages that are near each other, and lines elsewhere that are near these."""
     texts = {i: fold(lines[i].strip()) for i in body}
-    near = lambda i, j: _near(texts[i], texts[j], int(min(len(texts[i]), len(texts[j])) * HEADER_NEAR))
+    near = lambda i, j: _near(texts[i], texts[j], int(min(len(texts[i]), len(texts[j])) * RUNNING_NEAR))
     model = next((i for i in edges if sum(near(i, j) for j in edges) * 2 > len(edges)), None)
     return set() if model is None or len(edges) < 3 else {i for i in body if near(model, i)}
 
